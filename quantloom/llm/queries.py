@@ -9,11 +9,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.substring_dedup import removal_digests
+
+    return removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.bpe import token_digests
 
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe,)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.toxicity import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.simhash import near_components
+
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_recompression, op3_byte_bpe, op6_toxicity, op7_simhash)}
 ORACLE: dict[str, str] = {}
