@@ -18,6 +18,7 @@ import public_tokenizers
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Texts longer than this are cut, at the first safe boundary after each so many characters.
@@ -60,7 +61,7 @@ def encode_documents(docs: DataFrame, rank_path: str | None = None, pattern: str
     path, pat = rank_path or public_tokenizers.path(RANK_FILE), pattern or public_tokenizers.PATTERN
     own = ["token_ids", "n_tokens", "decoded"]
     names = [c for c in docs.columns if c not in own]
-    schema = docs.select(*(f"`{c}`" for c in names)).schema.add("token_ids", "array<int>").add("n_tokens", "long").add("decoded", "binary")
+    schema = docs.select(*(f"`{c}`" for c in names)).schema.add("token_ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pat)

@@ -108,7 +108,7 @@ def score(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float
     own = ["score", "predicted"]
     names = [c for c in keep if c not in own]
     needs = list(dict.fromkeys([*names, "text"]))
-    schema = docs.select(*(f"`{c}`" for c in names)).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*(f"`{c}`" for c in names)).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << bits, np.float32)
