@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize
+from quantloom.llm.common import materialize, split_by_keys
 from quantloom.llm.graph import connected_components
 
 BITS, SHINGLE, DISTANCE, FAN = 64, 4, 4, 8
@@ -217,3 +217,20 @@ def near_components(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     named = root.groupBy("root").agg(F.min("first").alias("component_id"))
     member = root.join(named, "root").select("fp", "component_id")
     return codes.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
+    """docs in their columns: of each component the document with the smallest doc_id.
+
+    Rows that repeat a doc_id, nulls too, are one document: the first by its text's hash. Only rows of dropped
+    documents, and the few that the filter can't tell from them, are shuffled."""
+    ids = docs.select("doc_id")
+    again = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.isEmpty():
+        maybe, never = split_by_keys(docs, again, ["doc_id"])
+        first = maybe.withColumn("__first", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+        docs = never.unionByName(first.where("__first = 1").drop("__first"))
+    found = near_components(docs, distance, width)
+    gone = materialize(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")), "dropped-documents")
+    maybe, never = split_by_keys(docs, gone.select(F.col("__gone").alias("doc_id")), ["doc_id"])
+    return never.unionByName(maybe.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti"))
