@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.substring_dedup import removal_digests
 
@@ -41,11 +47,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.mixing import mixture
 
     return mixture(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_recompression, op3_byte_bpe, op4_fingerprints, op6_toxicity, op7_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_recompression, op3_byte_bpe, op4_fingerprints, op6_toxicity, op7_simhash, op8_html, op9_urls, op10_mixing)}
 ORACLE: dict[str, str] = {"op10_mixing": MIXTURE_SQL}
