@@ -1,0 +1,7 @@
+"""Registered queries over the driver's tables, and their SQL for an independent engine."""
+
+from quantloom.plans import joins_q, models_q, panels_q, portfolio_q, quantiles_q, stats_q, windows_q  # noqa: F401
+from quantloom.plans.base import ORACLE, QUERIES
+from quantloom.plans.portfolio_q import flagship
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
