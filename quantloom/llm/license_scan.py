@@ -22,7 +22,7 @@ from quantloom.llm.common import materialize
 
 #: Bound on the corpus lines that join the training table, by a hash of the line.
 SAMPLE_LINES = 2_000
-FEATURES, MAX_ITER, REG, L1_SHARE = 1 << 13, 40, 0.0005, 0.3
+FEATURES, MAX_ITER, REG, L1_SHARE = 1 << 12, 25, 0.0005, 0.3
 #: Least share of a paragraph's 3-grams that its family's templates must have.
 MIN_OVERLAP = 0.5
 # Names of licence families as statements give them.
@@ -64,14 +64,13 @@ COMMON = frozenset("a above all along an and any anyone are as at be by can car
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case runs of letters, digits, dots, plus and minus signs within; other characters separate."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.+-]+|[.+-]+(?=\s|$)|[.+-]+(?=[^a-z0-9])"), lambda w: w != "")
+    """Lower-case runs of letters, digits, dots, plus and minus signs, without such signs at their ends."""
+    return F.filter(F.transform(F.split(F.lower(text), "[^a-z0-9.+-]+"), lambda w: F.btrim(w, F.lit(".+-"))), lambda w: w != "")
 
 
 def _plain(text: str) -> list[str]:
-    import re
-
-    return [w for w in re.split(r"[^a-z0-9.+-]+|[.+-]+(?=\s|$)|[.+-]+(?=[^a-z0-9])", text.lower()) if w]
+    low = "".join(c if c.isascii() and c.isalnum() or c in ".+-" else " " for c in text.lower())
+    return [x for w in low.split() if (x := w.strip(".+-"))]
 
 
 def _sources() -> list[tuple[str, str]]:

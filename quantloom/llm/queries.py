@@ -35,6 +35,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.toxicity import score_documents
 
@@ -65,5 +71,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_recompression, op3_byte_bpe, op4_fingerprints, op6_toxicity, op7_simhash, op8_html, op9_urls, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_recompression, op3_byte_bpe, op4_fingerprints, op5_license_scan, op6_toxicity, op7_simhash, op8_html, op9_urls, op10_mixing)}
 ORACLE: dict[str, str] = {"op10_mixing": MIXTURE_SQL}
