@@ -197,6 +197,7 @@ def _spans(keyed: DataFrame, window: int) -> DataFrame:
         each.join(firsts, ["k", "o", "w"]).groupBy("k", "h")
         .agg(F.min("f").alias("f"), F.sum(F.expr("case when f = wf then shiftleft(1, i) else 0 end")).cast("int").alias("spare"))
     )
+    spared = materialize(spared, "spared-windows")  # a table on this side lets a hot segment's rows be split
     other = mixed.join(spared, ["k", "h"]).select("d", "u", "s", "n", F.when(place == F.col("f"), F.col("spare")).otherwise(0).alias("keep"))
     other = other.where("keep <> shiftleft(1, n) - 1")
     return alike.union(other).groupBy("d", "u").agg(F.collect_list(F.struct("s", "n", "keep")).alias("spans"))
