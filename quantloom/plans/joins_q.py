@@ -9,12 +9,12 @@ from quantloom.operators import stats as st
 from quantloom.operators.windows import series
 from quantloom.plans.base import DENSE, PX, panel, prices, query, r, table
 
-RATES = "rt as (select o_orderdate::date as date, round(avg(o_totalprice), 2) as rate from orders where day(o_orderdate) = 1 group by 1)"
+RATES = "rt as (select o_orderdate::date as date, max(o_totalprice) as rate from orders where day(o_orderdate) = 1 group by 1)"
 
 
 def _rates(spark, d):
     o = table(spark, d, "orders").where(F.dayofmonth("o_orderdate") == 1)
-    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 2).alias("rate"))
+    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("rate"))
 
 
 @query("select s_suppkey, s_name, n_name, r_name from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
@@ -23,11 +23,11 @@ def j01_left_equi(spark, d):
     return s.join(n, s.s_nationkey == n.n_nationkey, "left").join(g, n.n_regionkey == g.r_regionkey, "left").select("s_suppkey", "s_name", "n_name", "r_name")
 
 
-@query("with " + PX + ", m as (select date, round(avg(close), 4) as mkt from px group by 1) select date, ticker, round(close / mkt, 6) as rel from px join m using (date)")
+@query("with " + PX + ", m as (select date, avg(close) as mkt from px group by 1) select date, ticker, round(close / mkt, 6) as rel from px join m using (date)")
 def j02_j19_p22_market_join(spark, d):
     """A market series, one row a date, joined to every ticker."""
     p = prices(spark, d)
-    m = p.groupBy("date").agg(F.round(F.avg("close"), 4).alias("mkt"))
+    m = p.groupBy("date").agg(F.avg("close").alias("mkt"))
     return p.join(m, "date").select("date", "ticker", r(F.col("close") / F.col("mkt")).alias("rel"))
 
 
@@ -109,13 +109,13 @@ def j16_j17_r28_offset_pairs(spark, d):
     return j.groupBy("leader", "follower").agg(F.count("*").alias("n"), r(st.safe_corr("x_leader", "x_follower")).alias("rho")).where("n >= 30")
 
 
-@query("with t as (select unnest(range(60, 2400, 21)) as t), " + PX + ", m as (select row_number() over (order by date) - 1 as pos, mkt from (select date, avg(close) as mkt from px group by 1)) select t.t, count(*) as n, round(quantile_cont(mkt, 0.05), 6) as q from t join m on pos <= t - 5 and pos > t - 5 - 250 group by 1")
+@query("with t as (select unnest(range(60, 2400, 21)) as t), " + PX + ", m as (select row_number() over (order by date) - 1 as pos, mkt from (select date, avg(close) as mkt from px group by 1)) select t.t, count(*) as n, round(quantile_cont(mkt, 0.05), 3) as q from t join m on pos <= t - 5 and pos > t - 5 - 250 group by 1")
 def j18_causal_range_join(spark, d):
     from pyspark.sql import Window
 
     t = spark.range(60, 2400, 21).select(F.col("id").alias("t"))
     m = prices(spark, d).groupBy("date").agg(F.avg("close").alias("mkt")).withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
-    return joins.causal_pairs(F.broadcast(t), m, 5, 250).groupBy("t").agg(F.count("*").alias("n"), r(F.percentile("mkt", F.lit(0.05))).alias("q"))
+    return joins.causal_pairs(F.broadcast(t), m, 5, 250).groupBy("t").agg(F.count("*").alias("n"), r(F.percentile("mkt", F.lit(0.05)), 3).alias("q"))
 
 
 @query("""with a as (select distinct l_suppkey as k from lineitem where l_shipdate < timestamp '1996-01-01'), b as (select s_suppkey as k, count(*) as n from supplier group by 1)

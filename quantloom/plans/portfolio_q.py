@@ -35,10 +35,10 @@ def t05_low_vol_top_quintile(spark, d):
 RK = "rr as (select date, ticker, ret, case when ret is not null then (rank() over (partition by date order by ret nulls last) + (count(ret) over (partition by date, ret) - 1) / 2.0::double) / count(ret) over (partition by date) end as pr from p), zz as (select *, pr - avg(pr) over (partition by date) as z, count(pr) over (partition by date) as n from rr), bk as (select date, ticker, case when n >= 10 and z is not null then z / sum(abs(z)) over (partition by date) else 0 end as w from zz)"
 
 
-@query("with " + DENSE + ", " + RK + " select date, ticker, round(w, 6) as w from bk")
+@query("with " + DENSE + ", " + RK + " select date, ticker, round(w, 9) as w from bk")
 def b01_long_short_rank(spark, d):
     p = panel(spark, d).withColumn("pr", xs.pct_rank("ret"))
-    return p.select("date", "ticker", r(xs.long_short("pr")).alias("w"))
+    return p.select("date", "ticker", r(xs.long_short("pr"), 9).alias("w"))
 
 
 @query("with " + DENSE + ", " + RK + f", bt as (select date, ticker, case when count(ret) over {w(60)} >= 20 then stddev_samp(ret) over {w(60)} end as beta from p), jj as (select rr.date, ticker, case when beta is not null then pr end as z, case when pr is not null then beta end as b from rr join bt using (date, ticker)), rg as (select *, z - (regr_intercept(z, b) over (partition by date) + regr_slope(z, b) over (partition by date) * b) as e, count(case when z is not null and b is not null then 1 end) over (partition by date) as n from jj) select date, ticker, case when n >= 10 and e is not null then round(e / sum(abs(e)) over (partition by date), 5) else 0 end as w from rg")

@@ -175,8 +175,8 @@ def w31_step_index(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"))
 
 
-@query("with " + DENSE + f", x as (select *, case when count(value) over {w(60)} >= 30 then quantile_cont(value, 0.5) over {w(60)} end as typical from p), y as (select *, quantile_cont(typical, 0.5) over (partition by date) as mid, case when abs(ret) > 0.5 then 1 else 0 end as shock from x) select date, ticker, typical >= mid as liquid, max(shock) over {w(20)} as shocked, round(lead(ln(close), 5) over (partition by ticker order by date) - ln(close), 6) as after from y")
+@query("with " + DENSE + f", x as (select *, case when count(value) over {w(60)} >= 30 then quantile_cont(value, 0.5) over {w(60)} end as typical from p), y as (select *, quantile_cont(typical, 0.5) over (partition by date) as mid, case when abs(ret) > 0.5 then 1 else 0 end as shock from x) select date, ticker, cast(typical >= mid as int) as liquid, max(shock) over {w(20)} as shocked, round(lead(ln(close), 5) over (partition by ticker order by date) - ln(close), 6) as after from y")
 def w36_w38_liquidity_and_shocks(spark, d):
     p = panel(spark, d).withColumn("typical", wn.rolling_quantile(F.col("value"), 0.5, 60, 30)).withColumn("shock", F.coalesce((F.abs("ret") > 0.5).cast("int"), F.lit(0)))
     mid = F.percentile("typical", F.lit(0.5)).over(wn.cross_section())
-    return p.select("date", "ticker", (F.col("typical") >= mid).alias("liquid"), F.max("shock").over(wn.trailing(20)).alias("shocked"), r(F.lead(F.ln("close"), 5).over(wn.series()) - F.ln("close")).alias("after"))
+    return p.select("date", "ticker", (F.col("typical") >= mid).cast("int").alias("liquid"), F.max("shock").over(wn.trailing(20)).alias("shocked"), r(F.lead(F.ln("close"), 5).over(wn.series()) - F.ln("close")).alias("after"))

@@ -55,6 +55,12 @@ def fetch_rows(transport: Transport, key: str, cap: int | None = None, tries: in
             return
 
 
+def demo_pages(key: str, start: int) -> tuple[list[list], int | None]:
+    """A transport without a network: seven rows in pages of three."""
+    rows = [[i, f"{key}{i}"] for i in range(7)]
+    return rows[start : start + 3], len(rows)
+
+
 class _Key(InputPartition):
     def __init__(self, key: str):
         self.key = key
