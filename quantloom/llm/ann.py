@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize
+from quantloom.llm.common import frugal, materialize
 
 K = 20
 #: Vectors a list is meant to hold; bounds of the lists' number and of the sample that the centroids are fitted on.
@@ -224,7 +224,7 @@ def search(table: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector
                 at = np.concatenate(for_rows).astype(np.int32) if len(x) else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i))], names=["list", "id", "v"])
 
-    postings = materialize(rows.select("id", "v").mapInArrow(assign, "list int, id long, v array<double>"), "postings")
+    postings = materialize(rows.select("id", "v").mapInArrow(frugal(assign), "list int, id long, v array<double>"), "postings")
     sizes = postings.groupBy("list").agg(F.count("*").alias("n")).toArrow()  # a row a list
     held = np.zeros(len(graph.c), np.int64)
     held[sizes["list"].to_numpy()] = sizes["n"].to_numpy()
@@ -253,7 +253,7 @@ def search(table: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector
                 block = np.arange(len(at)) - np.repeat(ends - blocks[one], blocks[one])
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(floor[i])], names=["list", "block", "id", "v", "floor"])
 
-    asked = rows.where("asks").select("id", "v").mapInArrow(probe, "list int, block int, id long, v array<double>, floor double")
+    asked = rows.where("asks").select("id", "v").mapInArrow(frugal(probe), "list int, block int, id long, v array<double>, floor double")
     block_of = F.get(F.lit([int(x) for x in blocks]), F.col("list"))
     dealt = postings.withColumn("block", F.pmod(F.xxhash64("id"), block_of).cast("int")).select("list", "block", "id", "v", F.lit(None).cast("double").alias("floor"), F.lit(0).alias("asks"))
     both = dealt.unionByName(asked.withColumn("asks", F.lit(1))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "list", "block")
@@ -283,7 +283,7 @@ def search(table: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector
                     i, found, score = best(x, y, v[s:e], id_[s:e], k, floor[s:e])
                     yield pa.RecordBatch.from_arrays([pa.array(id_[s:e][i]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = both.sortWithinPartitions("list", "block", "asks").select("list", "block", "id", "v", "asks", "floor").mapInArrow(scan, "query_id long, vec_id long, score double")
+    found = both.sortWithinPartitions("list", "block", "asks").select("list", "block", "id", "v", "asks", "floor").mapInArrow(frugal(scan), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

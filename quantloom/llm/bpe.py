@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from quantloom.llm.common import frugal
+
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Texts longer than this are cut, at the first safe boundary after each so many characters.
 LONG = 1 << 16
@@ -73,7 +75,7 @@ def encode_documents(docs: DataFrame, rank_path: str | None = None, pattern: str
                 arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(map(enc.decode_bytes, ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names + own)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def token_digests(docs: DataFrame, rank_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -94,4 +96,4 @@ def token_digests(docs: DataFrame, rank_path: str | None = None, pattern: str |
                 text_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quantloom.llm.common import frugal
+
 # Element names of HTML and their roles.
 BLOCK = frozenset("address article aside blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noframes noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul video audio".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas select textarea button title noframes".split())
@@ -215,4 +217,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     few = pages.select("page_id", "url", "html")
-    return few.mapInArrow(run, few.drop("html").schema.add("text", "string").add("n_chars", "long"))
+    return few.mapInArrow(frugal(run), few.drop("html").schema.add("text", "string").add("n_chars", "long"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize, split_by_keys
+from quantloom.llm.common import frugal, materialize, split_by_keys
 from quantloom.llm.graph import connected_components
 
 BITS, SHINGLE, DISTANCE, FAN = 64, 4, 4, 8
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fp = np.array([simhash(t.as_py(), width) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ def near_links(codes: DataFrame, distance: int = DISTANCE, node_rows: int = NODE
             if held:
                 yield flush(pa.concat_tables(held))
 
-        return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).select(*keys, "fp").mapInArrow(run, "u long, v long")
+        return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).select(*keys, "fp").mapInArrow(frugal(run), "u long, v long")
 
     whole = (1 << 64) - 1
     rows = spread(codes.select("fp"), whole, []).withColumn("q", F.lit(0).cast("long"))

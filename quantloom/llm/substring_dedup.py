@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bloom_array, bloom_hits, materialize, mix64, split_by_keys
+from quantloom.llm.common import bloom_array, bloom_hits, frugal, materialize, mix64, split_by_keys
 
 WINDOW = 20
 #: Longest run of equal words that becomes one symbol (longer ones stay words: a window may not see their ends).
@@ -173,7 +173,7 @@ def _anchors(keyed: DataFrame, window: int, bits=None) -> DataFrame:
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(hashes)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*cols, *["wh"] * more])
 
-    return keyed.select("d", "u", "text").mapInArrow(run, "k long, h long, d long, u long, p int, s int, n int" + ", wh array<long>" * more)
+    return keyed.select("d", "u", "text").mapInArrow(frugal(run), "k long, h long, d long, u long, p int, s int, n int" + ", wh array<long>" * more)
 
 
 def _spans(keyed: DataFrame, window: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _apply(docs: DataFrame, window: int, fn, cols: list[str], schema) -> DataFra
             for at in range(0, whole.num_rows, 256):
                 yield fn(whole.slice(at, 256))
 
-    return joined.unionByName(never.select(*own, F.lit(None).cast("array<struct<s:int,n:int,keep:int>>").alias("spans"))).mapInArrow(run, schema)
+    return joined.unionByName(never.select(*own, F.lit(None).cast("array<struct<s:int,n:int,keep:int>>").alias("spans"))).mapInArrow(frugal(run), schema)
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

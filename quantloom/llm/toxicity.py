@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import mix64
+from quantloom.llm.common import frugal, mix64
 
 BITS = 20
 STEM = 6
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         i = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(w[i])], names=["index", "weight"])
 
-    return rows.mapInArrow(train, "index int, weight double")
+    return rows.mapInArrow(frugal(train), "index int, weight double")
 
 
 def score(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float = 0.5, bits: int = BITS) -> DataFrame:
@@ -119,7 +119,7 @@ def score(docs: DataFrame, weights: DataFrame, keep: list[str], threshold: float
             p = 1 / (1 + np.exp(-np.clip(x, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(p, pa.float64()), pa.array(p >= threshold).cast(pa.int32())], names=names + own)
 
-    return docs.select(*(f"`{c}`" for c in needs)).mapInArrow(run, schema)
+    return docs.select(*(f"`{c}`" for c in needs)).mapInArrow(frugal(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
