@@ -94,18 +94,31 @@ def _training() -> list[tuple[str, str]]:
     return out + [("none", t) for t in OTHER for _ in range(4)] + [("none", " ".join(t.split()[i:])) for t in OTHER for i in (1, 2, 3)]
 
 
+def _once(x: Column, fn) -> Column:
+    """fn of x, with x evaluated once (a lambda that mentions a column's expression evaluates it for every element)."""
+    return F.get(F.transform(F.array(x), fn), 0)
+
+
 def features(words: Column, known: Column) -> Column:
     """1-grams and 2-grams that hold an evidence word."""
-    one = F.filter(words, lambda w: F.array_contains(known, w))
-    pair = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b")))
-    two = F.when(F.size(words) > 1, F.transform(F.filter(pair, lambda p: F.array_contains(known, p.a) | F.array_contains(known, p.b)), lambda p: F.concat(p.a, F.lit(" "), p.b))).otherwise(F.slice(words, 1, 0))
-    return F.concat(one, two)
+
+    def both(w: Column) -> Column:
+        flags = F.transform(w, lambda x: F.struct(x.alias("w"), F.array_contains(known, x).alias("k")))
+        one = F.filter(w, lambda x: F.array_contains(known, x))
+        pairs = F.zip_with(F.slice(flags, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(flags, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(a.k | b.k, F.concat(a.w, F.lit(" "), b.w)))
+        return F.concat(one, F.array_compact(pairs))
+
+    return _once(words, both)
 
 
 def grams(words: Column, width: int = 3) -> Column:
     """Distinct hashes of the 3-grams; of shorter sequences, of the whole."""
-    each = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(width))))
-    return F.array_distinct(F.when(F.size(words) >= width, each).otherwise(F.array(F.xxhash64(words))))
+
+    def hashes(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(width))))
+        return F.array_distinct(F.when(F.size(w) >= width, each).otherwise(F.array(F.xxhash64(w))))
+
+    return _once(words, hashes)
 
 
 class Scanner:
