@@ -14,21 +14,26 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone; event times without one are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def bars(events: DataFrame, length: str = "10 minutes", slide: str | None = None, late: str = "14 days") -> DataFrame:
     """(start, event_type, n, value, close): tumbling or sliding bars; rows later than `late` are dropped."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    g = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type")
+    g = _timed(events, late).groupBy(w.alias("w"), "event_type")
     return g.agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.max_by("value", F.struct("ts", "event_id")).alias("close")).select(F.col("w.start").alias("start"), "event_type", "n", "value", "close")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "14 days") -> DataFrame:
     """(user_id, start, end, n): runs of a user's events with no longer gap."""
-    g = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    g = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
     return g.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def deduplicated(events: DataFrame, late: str = "14 days") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def ewma_state(events: DataFrame, keep: float = 0.94) -> DataFrame:
