@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import actions, joins
 from quantloom.operators import stats as st
-from quantloom.operators.windows import series
 from quantloom.plans.base import DENSE, PX, panel, prices, query, r, table
 
 RATES = "rt as (select o_orderdate::date as date, max(o_totalprice) as rate from orders where day(o_orderdate) = 1 group by 1)"
