@@ -30,8 +30,11 @@ LIST_ROWS, MAX_LISTS, SAMPLE = 128, 1 << 14, 1 << 16
 BOUND_ROWS = 4096
 #: Rows of one list that one task takes at once.
 BLOCK_ROWS = 256
+#: Rows of one batch of queries and the lists that they visit.
+BATCH_ROWS = 1 << 15
 REPLICATE, MAX_REPLICAS = 0.03, 4
-PRUNE, MAX_PROBES = 0.18, 512
+#: Centroids that a query's walk keeps at first; queries whose selection that may cut see all centroids.
+PRUNE, BEAM = 0.18, 512
 DEGREE = 16
 
 
@@ -124,7 +127,8 @@ class CentroidGraph:
             twice = np.zeros_like(fresh)
             np.put_along_axis(twice, order[:, 1:], same[:, 1:] == same[:, :-1], 1)
             fresh &= ~twice
-            seen[rows, new] |= fresh
+            i, j = np.nonzero(fresh)  # not |=, by which a repeated id's last place would undo the mark
+            seen[i, new[i, j]] = True
             nd = np.where(fresh, qn - 2 * (self.c[new] @ q[:, :, None])[:, :, 0] + cn[new], np.inf)
             ids, d = np.concatenate([ids, new], 1), np.concatenate([d, nd], 1)
             done = np.concatenate([done, ~fresh], 1)
@@ -149,11 +153,21 @@ def _lists_of(graph: CentroidGraph, x: np.ndarray) -> list[np.ndarray]:
 
 
 def _probes_of(graph: CentroidGraph, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
-    """Lists to visit: by the distance ratio, and as many as hold `least` vectors together."""
-    at, d = graph.search(q, MAX_PROBES)
-    near = d <= (d[:, :1] * (1 + PRUNE) ** 2)
-    held = np.cumsum(sizes[at], axis=1) - sizes[at]
-    return [a[n | (h < least)] for a, n, h in zip(at, near, held, strict=True)]
+    """Lists to visit: by the distance ratio alone, and as many as hold `least` vectors together.
+
+    The farthest centroid of a query's beam must fail both, or else the beam grows to all centroids."""
+    out: list[np.ndarray] = [np.zeros(0, int)] * len(q)
+    open_, beam = np.arange(len(q)), BEAM
+    while len(open_):
+        at, d = graph.search(q[open_], beam)
+        near = d <= (d[:, :1] * (1 + PRUNE) ** 2)
+        held = np.cumsum(sizes[at], axis=1) - sizes[at]
+        take = near | (held < least)
+        whole = ~take[:, -1] | (beam >= len(graph.c))
+        for i in np.flatnonzero(whole):
+            out[open_[i]] = at[i][take[i]]
+        open_, beam = open_[~whole], len(graph.c)
+    return out
 
 
 def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +265,10 @@ def search(table: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector
                 at = np.repeat(one, blocks[one])
                 ends = np.cumsum(blocks[one])
                 block = np.arange(len(at)) - np.repeat(ends - blocks[one], blocks[one])
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(floor[i])], names=["list", "block", "id", "v", "floor"])
+                for s in range(0, len(at), BATCH_ROWS):
+                    e = slice(s, s + BATCH_ROWS)
+                    j = pa.array(i[e])
+                    yield pa.RecordBatch.from_arrays([pa.array(at[e].astype(np.int32)), pa.array(block[e].astype(np.int32)), b.column(0).take(j), b.column(1).take(j), pa.array(floor[i[e]])], names=["list", "block", "id", "v", "floor"])
 
     asked = rows.where("asks").select("id", "v").mapInArrow(frugal(probe), "list int, block int, id long, v array<double>, floor double")
     block_of = F.get(F.lit([int(x) for x in blocks]), F.col("list"))

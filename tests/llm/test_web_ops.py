@@ -100,6 +100,22 @@ def test_search_recall_ties_and_edges(spark):
     assert [r.vec_id for r in copies] == [i for i in range(100, 400) if i != 150][: len(copies)]
 
 
+@pytest.mark.parametrize("n", [2000, 2500])
+def test_distance_ratio_alone_chooses_lists(n):
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=(n, 64))
+    c = np.column_stack([0.6 * c / np.linalg.norm(c, axis=1)[:, None], np.zeros(n)])  # means lie inside the sphere
+    q = rng.normal(size=(64, 64))
+    q = np.column_stack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros(64)])
+    q[:8] = c[:8]  # few lists fit these
+    d = ((q[:, None] - c[None]) ** 2).sum(2)
+    want = [set(np.flatnonzero(x <= x.min() * (1 + ann.PRUNE) ** 2)) for x in d]
+    got = ann._probes_of(ann.CentroidGraph(c), q, np.full(n, 2000), 160)
+    assert max(map(len, want)) > 512
+    assert [len(set(g) ^ w) / len(w) < 0.02 for g, w in zip(got, want, strict=True)] == [True] * 64
+    assert all(len(set(g)) == len(g) for g in got)
+
+
 def test_search_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in ann.nearest(df).collect())
