@@ -56,14 +56,12 @@ def m14_conformal_scale(spark, d):
 
 @query()
 def m07_m08_garch(spark, d):
-    p = positions(spark, d).where(F.col("ticker").isin("NATION_6", "NATION_18") & (F.col("pos") < 700))
-    return md.garch(p, "ret", [1, 2, 3, 4, 5], every=100, least=100)
+    return md.garch(positions(spark, d), "ret", [1, 2, 3, 4, 5], every=100, least=100)
 
 
 @query()
 def m09_garch_t(spark, d):
-    p = positions(spark, d).where(F.col("ticker").isin("NATION_6") & (F.col("pos") < 500))
-    return md.garch(p, "ret", [1], every=200, least=100, student=True)
+    return md.garch(positions(spark, d), "ret", [1], every=200, least=100, student=True)
 
 
 @query()

@@ -80,22 +80,18 @@ def r23_cost_breakeven(spark, d):
     return out.agg(r(F.avg("gross") / F.avg("turnover") * 10000, 2).alias("breakeven_bps"))
 
 
-def _five(spark, d):
-    return panel(spark, d).where(F.col("ticker").isin("NATION_18", "NATION_6", "NATION_8", "NATION_12", "NATION_17") & (F.col("date") < F.lit("1995-12-31").cast("date")))
-
-
 @query()
 def b04_w27_vol_target_overlay(spark, d):
-    """An equal book of five names scaled by recursive correlations."""
-    p = _five(spark, d)
-    book = p.select("date", "ticker", F.lit(0.2).alias("w"))
+    """An equal book of all names scaled by recursive correlations."""
+    p = panel(spark, d)
+    book = p.select("date", "ticker", (1 / F.count("*").over(wn.cross_section())).alias("w"))
     v = p.select("date", "ticker", (5 * wn.gated(F.var_samp("ret"), F.col("ret"), wn.trailing(20), 5)).alias("variance"))
     return pf.vol_target_overlay(book, v, pf.ewma_pairs(p, least=10), 5)
 
 
 @query()
 def b06_b08_min_variance(spark, d):
-    p = _five(spark, d)
+    p = panel(spark, d)
     v = p.select("date", "ticker", wn.gated(F.var_samp("ret"), F.col("ret"), wn.trailing(20), 5).alias("variance"))
     return pf.min_variance_book(v, pf.ewma_pairs(p, least=10), least=3)
 

@@ -145,7 +145,16 @@ def w24_basel_traffic_light(spark, d):
 
 @query("with " + DENSE + f", q as (select *, case when count(ret) over {w(250)} >= 100 then quantile_cont(ret, 0.05) over {w(250)} end as v, list(ret) filter (ret is not null) over {w(250)} as l from p where ticker in ('NATION_6', 'NATION_18', 'NATION_12')) select date, ticker, round(v, 6) as var, round(list_avg(list_filter(l, lambda x: x <= v)), 6) as es from q where v is not null")
 def w25_hs_var_es(spark, d):
-    p = panel(spark, d).where(F.col("ticker").isin("NATION_6", "NATION_18", "NATION_12"))
+    return _hs_var_es(panel(spark, d).where(F.col("ticker").isin("NATION_6", "NATION_18", "NATION_12")))
+
+
+@query()
+def w25_hs_var_es_whole(spark, d):
+    """All names; the SQL above has three, as it is too slow for all."""
+    return _hs_var_es(panel(spark, d))
+
+
+def _hs_var_es(p):
     p = p.withColumns({"v": wn.rolling_quantile(F.col("ret"), 0.05, 250, 100), "l": F.collect_list("ret").over(wn.trailing(250))}).where("v is not null")
     tail = F.filter("l", lambda x: x <= F.col("v"))
     return p.select("date", "ticker", r("v").alias("var"), r(F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / F.size(tail)).alias("es"))
