@@ -82,7 +82,8 @@ def m01_m06_contexts_baselines(spark, d):
 
 @query()
 def m03_m04_forecast(spark, d):
-    ctx = md.contexts(panel(spark, d), "ret", 60).where("date between date'1996-01-01' and date'1996-01-31'")
+    """All dates before the locked holdout."""
+    ctx = md.contexts(panel(spark, d), "ret", 60).where("date < date'2001-01-01'")
     return md.forecast(ctx, md.last_value_forecaster, 3, locked_from="2001-01-01")
 
 

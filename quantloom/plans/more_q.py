@@ -51,7 +51,17 @@ def j05_j22_compared_metrics(spark, d):
 
 @query("with " + DENSE + ", x as (select date, ticker, ret, row_number() over (partition by date order by abs(ret) desc nulls last, ticker) as k from p where date between date '1996-01-01' and date '1996-03-31') select date, any_value(ticker) filter (k = 1) as top, round(min(ret), 6) as lo, round(max(ret), 6) as hi from x where ret is not null group by 1")
 def t07_t12_winners(spark, d):
-    p = panel(spark, d).where("date between date'1996-01-01' and date'1996-03-31' and ret is not null")
+    return _winners(panel(spark, d).where("date between date'1996-01-01' and date'1996-03-31'"))
+
+
+@query()
+def t07_t12_winners_whole(spark, d):
+    """All dates; the SQL above has three months."""
+    return _winners(panel(spark, d))
+
+
+def _winners(p):
+    p = p.where("ret is not null")
     best = F.min_by("ticker", F.struct(-F.abs("ret"), F.col("ticker")))
     return p.groupBy("date").agg(best.alias("top"), r(F.min("ret")).alias("lo"), r(F.max("ret")).alias("hi"))
 
@@ -159,11 +169,21 @@ def m18_log_rv_blocks(spark, d):
 @query("with " + DENSE + ", h as (select ticker, year(date) as y, case when sign(ret) = sign(lead(ret) over (partition by ticker order by date)) then 1.0::double else 0 end as hit from p where ret is not null) select ticker, round(avg(hit) filter (y = 1995), 6) as y1995, round(avg(hit) filter (y = 1996), 6) as y1996, round(avg(hit) filter (y = 1997), 6) as y1997 from h group by 1")
 def c33_accuracy_table(spark, d):
     """The heat map's table: accuracy of each name by period."""
-    p = panel(spark, d).where("ret is not null")
-    h = p.select("ticker", F.year("date").alias("y"), F.coalesce((F.signum("ret") == F.signum(F.lead("ret").over(wn.series()))).cast("double"), F.lit(0.0)).alias("hit"))
+    h = _hits(spark, d)
     return h.groupBy("ticker").pivot("y", [1995, 1996, 1997]).agg(F.round(F.avg("hit"), 6)).select("ticker", *(F.col(str(y)).alias(f"y{y}") for y in (1995, 1996, 1997)))
 
 
+@query()
+def c33_accuracy_table_whole(spark, d):
+    """The same with a row for every year that there is."""
+    return _hits(spark, d).groupBy("ticker", F.col("y").alias("year")).agg(r(F.avg("hit")).alias("accuracy"))
+
+
+def _hits(spark, d):
+    p = panel(spark, d).where("ret is not null")
+    return p.select("ticker", F.year("date").alias("y"), F.coalesce((F.signum("ret") == F.signum(F.lead("ret").over(wn.series()))).cast("double"), F.lit(0.0)).alias("hit"))
+
+
 @query("select cast(floor((o_totalprice - 0) / 10000) as bigint) as bin, count(*) as n from orders group by 1")
 def c32_histogram(spark, d):
     return table(spark, d, "orders").groupBy(F.floor(F.col("o_totalprice") / 10000).cast("long").alias("bin")).agg(F.count("*").alias("n"))
@@ -187,16 +207,16 @@ def c14_regime(spark, d):
 
 @query()
 def m16_tail_mixture(spark, d):
-    """Weights of two VaR/ES pairs by their joint loss, one fit of a year's rows."""
+    """Weights of two VaR/ES pairs by their joint loss, one fit for each year's rows."""
     import pandas as pd
 
     x = F.col("ret")
-    p = panel(spark, d).where("date < date'1996-12-31'")
-    p = p.withColumns({"va": wn.rolling_quantile(x, 0.05, 60, 30, lag=1), "vb": -1.645 * wn.rolling_std(x, 60, 30, lag=1)}).where("ret is not null and va < 0 and vb < 0 and date >= date'1996-01-01'")
+    p = panel(spark, d)
+    p = p.withColumns({"va": wn.rolling_quantile(x, 0.05, 60, 30, lag=1), "vb": -1.645 * wn.rolling_std(x, 60, 30, lag=1)}).where("ret is not null and va < 0 and vb < 0")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf[["va", "vb"]].to_numpy()
         k = md.fit_tail_mix(v, 1.25 * v, pdf["ret"].to_numpy(), 0.05)
-        return pd.DataFrame({"wa": [k[0]], "wb": [k[1]], "log_scale": [k[2]]})
+        return pd.DataFrame({"year": [key[0]], "wa": [k[0]], "wb": [k[1]], "log_scale": [k[2]]})
 
-    return p.groupBy(F.year("date")).applyInPandas(fit, "wa double, wb double, log_scale double")
+    return p.groupBy(F.year("date")).applyInPandas(fit, "year int, wa double, wb double, log_scale double")

@@ -62,7 +62,17 @@ def w10_w12_w37_vol_and_blocks(spark, d):
 
 @query("with " + DENSE + ", q as (select *, ret * ret as x, list(ret * ret) filter (ret is not null) over (partition by ticker order by date rows unbounded preceding) as h from p where date < date '1997-01-01') select date, ticker, case when len(h) >= 20 then round(list_reduce(h, lambda a, b: 0.94::double * a + (1 - 0.94::double) * b), 9) end as ewma from q")
 def w11_vol_ewma(spark, d):
-    p = panel(spark, d).where("date < date'1997-01-01'").select("date", "ticker", (F.col("ret") * F.col("ret")).alias("x"))
+    return _vol_ewma(panel(spark, d).where("date < date'1997-01-01'"))
+
+
+@query()
+def w11_vol_ewma_whole(spark, d):
+    """All dates; the SQL above has some, as its lists grow with the square of the dates."""
+    return _vol_ewma(panel(spark, d))
+
+
+def _vol_ewma(p):
+    p = p.select("date", "ticker", (F.col("ret") * F.col("ret")).alias("x"))
     return wn.ewm(p, "x", "ewma", 0.94, 20).select("date", "ticker", r("ewma", 9).alias("ewma"))
 
 
@@ -116,7 +126,17 @@ def w20_rolling_vol_scale(spark, d):
 
 @query("with " + DENSE + ", " + RANK + ", z as (select *, coalesce((pr - avg(pr) over (partition by date)) / nullif(stddev_samp(pr) over (partition by date), 0), pr * 0) as z from rk where date < date '1996-06-30'), h as (select *, list(z) filter (z is not null) over (partition by ticker order by date rows unbounded preceding) as l from z) select date, ticker, round(list_reduce(l, lambda a, b: pow(0.5::double, 0.2::double) * a + (1 - pow(0.5::double, 0.2::double)) * b), 6) as smooth from h where len(l) > 0")
 def w22_smooth_signal(spark, d):
-    p = panel(spark, d).where("date < date'1996-06-30'").withColumn("pr", xs.pct_rank("ret")).withColumn("z", xs.standardized("pr"))
+    return _smooth_signal(panel(spark, d).where("date < date'1996-06-30'"))
+
+
+@query()
+def w22_smooth_signal_whole(spark, d):
+    """All dates; the SQL above has some."""
+    return _smooth_signal(panel(spark, d))
+
+
+def _smooth_signal(p):
+    p = p.withColumn("pr", xs.pct_rank("ret")).withColumn("z", xs.standardized("pr"))
     s = wn.ewm(p.select("date", "ticker", "z"), "z", "smooth", 0.5 ** (1 / 5))
     return s.where("smooth is not null").select("date", "ticker", r("smooth").alias("smooth"))
 
@@ -162,9 +182,18 @@ def _hs_var_es(p):
 
 @query("with " + DENSE + ", " + MK + ", j as (select p.date, ticker, ret, m, row_number() over (partition by ticker order by date) as i from p join mk using (date) where date < date '1996-06-30' and ret is not null and m is not null), h as (select *, list([ret * m, ret * ret, m * m]) over (partition by ticker order by date rows unbounded preceding) as l from j), s as (select *, list_reduce(l, lambda a, b: [0.97::double * a[1] + 0.03::double * b[1], 0.97::double * a[2] + 0.03::double * b[2], 0.97::double * a[3] + 0.03::double * b[3]], [0.0::double, 0.0::double, 0.0::double]) as v from h where i >= 60) select date, ticker, round(v[1] / sqrt(v[2] * v[3]), 6) as rho from s")
 def w26_ewma_corr(spark, d):
-    p = panel(spark, d)
+    return _ewma_corr(panel(spark, d).where("date < date'1996-06-30'"))
+
+
+@query()
+def w26_ewma_corr_whole(spark, d):
+    """All dates; the SQL above has some."""
+    return _ewma_corr(panel(spark, d))
+
+
+def _ewma_corr(p):
     m = p.groupBy("date").agg(F.avg("ret").alias("m"))
-    j = p.join(m, "date").where("date < date'1996-06-30' and ret is not null and m is not null")
+    j = p.join(m, "date").where("ret is not null and m is not null")
     j = j.select("date", "ticker", (F.col("ret") * F.col("m")).alias("xy"), (F.col("ret") * F.col("ret")).alias("xx"), (F.col("m") * F.col("m")).alias("yy"))
     for c in ("xy", "xx", "yy"):
         j = wn.ewm(j, c, f"s{c}", 0.97, 60, seed=0.0)

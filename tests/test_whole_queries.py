@@ -66,3 +66,42 @@ def test_garch_has_every_name_and_date(name, spark, whole_panel):
     k = known.groupby("ticker").cumcount() + 1
     want = {(t, pos[x]) for t, x in zip(known.ticker[k >= 250], known.date[k >= 250], strict=True)}
     assert want and want <= {(r.ticker, r.pos) for r in rows}
+
+
+@pytest.mark.parametrize("name, key", [("w11_vol_ewma", "ewma"), ("w22_smooth_signal", "smooth"), ("w26_ewma_corr", "rho"), ("t07_t12_winners", "hi")])
+def test_slices_agree_with_all_dates(name, key, spark, whole_panel):
+    part, whole = ({(getattr(r, "ticker", None), r.date): r[key] for r in QUERIES[n](spark, SF).collect()} for n in (name, name + "_whole"))
+    assert part and all(whole[k] == v or abs(whole[k] - v) < 2e-6 for k, v in part.items() if v is not None)
+    assert max(d for _, d in whole) == whole_panel[whole_panel.ret.notna()].date.max()
+
+
+def test_accuracies_of_every_year(spark, whole_panel):
+    x = whole_panel[whole_panel.ret.notna()].copy()
+    x["hit"] = (np.sign(x.ret) == np.sign(x.groupby("ticker").ret.shift(-1))).astype(float)
+    want = x.groupby(["ticker", x.date.map(lambda v: v.year)]).hit.mean().to_dict()
+    got = {(r.ticker, r.year): r.accuracy for r in QUERIES["c33_accuracy_table_whole"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_pairs_over_all_dates(spark, whole_panel):
+    wide = whole_panel.pivot(index="date", columns="ticker", values="ret").astype(float)
+    late = wide.shift(-2)
+    got = {(r.leader, r.follower): (r.n, r.rho) for r in QUERIES["j16_j17_r28_offset_pairs_whole"](spark, SF).collect()}
+    sd = wide.shift(1).rolling(60, min_periods=20).std()
+    event = wide.abs() > 1.5 * sd
+    seen = {(r.leader, r.follower, r.lag): r.n_events for r in QUERIES["r29_r30_r31_event_response_whole"](spark, SF).collect()}
+    assert got and seen
+    for a in wide:
+        for b in wide:
+            ok = wide[a].notna() & late[b].notna()
+            if a != b and ok.sum() >= 30:
+                assert got[a, b][0] == ok.sum() and abs(got[a, b][1] - np.corrcoef(wide[a][ok], late[b][ok])[0, 1]) < 2e-6
+            for lag in (1, 2):
+                n = (event[a] & wide[b].shift(-lag).notna()).sum()
+                assert a == b or seen.get((a, b, lag), 0) == (n if n >= 5 else 0)
+
+
+def test_forecasts_and_mixtures_of_all_years(spark):
+    f = QUERIES["m03_m04_forecast"](spark, SF).agg(F.min("date").alias("a"), F.max("date").alias("z")).first()
+    assert (f.a.year, f.z.year) == (1995, 2000)
+    assert {r.year for r in QUERIES["m16_tail_mixture"](spark, SF).collect()} == set(range(1995, 2002))
