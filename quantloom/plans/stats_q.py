@@ -129,7 +129,7 @@ def r16_r17_driscoll_kraay(spark, d):
 @query()
 def r18_r20_block_bootstrap(spark, d):
     x = loss_series(spark, d)
-    return st.block_bootstrap(x, ["la", "lb"], "date", lambda a: (a[:, 0] - a[:, 1]).mean(), 100)
+    return st.block_bootstrap(x, ["la", "lb"], "date", lambda a: (a[:, 0] - a[:, 1]).mean(), 2000)
 
 
 @query("with " + DENSE + ", a as (select date, avg(exp(ret) - 1) as ra from p where ret is not null and ticker <= 'NATION_19' group by 1), b as (select date, avg(exp(ret) - 1) as rb from p where ret is not null and ticker > 'NATION_19' group by 1), j as (select ra / 10 as ra, rb / 10 as rb from a join b using (date)), s as (select count(*) as n, avg(1 + ra) as ma, avg((1 + ra) * (1 + ra)) as ma2, avg((1 + rb) - (5 / 12.0::double) * (1 + rb) * (1 + rb)) as ub from j), q as (select *, 2 * (5 / 12.0::double) * ma - 1 as li, ma - (5 / 12.0::double) * ma2 - ub as co from s) select n, round(2 * co / (-li + sign(-li) * sqrt(li * li + 4 * (5 / 12.0::double) * co)), 5) as delta from q")
@@ -149,7 +149,7 @@ def r22_w34_performance(spark, d):
 
 @query()
 def r24_permutation_null(spark, d):
-    return st.permutation_ic(signal_panel(spark, d), "s", "f", 20)
+    return st.permutation_ic(signal_panel(spark, d), "s", "f", 1000)
 
 
 BH = "t as (select user_id, event_type, avg(value) / 500 as p from events group by all), k as (select *, row_number() over (partition by event_type order by p, user_id) as i, count(*) over (partition by event_type) as m from t)"

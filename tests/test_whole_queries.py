@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom.operators import models as md, stats as st
 from quantloom.operators.portfolio import min_variance_weights
 from quantloom.plans import QUERIES
 from quantloom.plans.base import panel, table
@@ -59,13 +60,33 @@ def test_books_have_every_name_and_date(spark, whole_panel):
 
 
 @pytest.mark.parametrize("name", ["m07_m08_garch", "m09_garch_t"])
-def test_garch_has_every_name_and_date(name, spark, whole_panel):
-    rows = QUERIES[name](spark, SF).select("ticker", "pos").collect()
-    pos = {x: i for i, x in enumerate(sorted(whole_panel.date.unique()))}
-    known = whole_panel[whole_panel.ret.notna()]
-    k = known.groupby("ticker").cumcount() + 1
-    want = {(t, pos[x]) for t, x in zip(known.ticker[k >= 250], known.date[k >= 250], strict=True)}
-    assert want and want <= {(r.ticker, r.pos) for r in rows}
+def test_garch_gets_every_name_and_date(name, spark, whole_panel, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(md, "garch", lambda p, *a, **kw: asked.update(kw) or p.select("ticker", "date"))
+    rows = QUERIES[name](spark, SF).collect()
+    assert {(r.ticker, r.date) for r in rows} == set(zip(whole_panel.ticker, whole_panel.date, strict=True))
+    assert not {"every", "least"} & set(asked)
+
+
+def test_garch_fits_returns_of_any_scale():
+    assert len(fit_any := md.fit_garch(np.full(300, 1e-9), True)) == 5 and np.isfinite(fit_any).all()
+
+
+def test_draws_and_refits_are_the_full_counts(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(st, "permutation_ic", lambda *a: asked.update(r24=a[3]))
+    monkeypatch.setattr(st, "block_bootstrap", lambda *a: asked.update(r18=a[4]))
+    monkeypatch.setattr(md, "rolling_mixture", lambda p, *a, **kw: asked.update(m15=kw) or p.withColumn("mix", F.lit(1.0)))
+    for name in ("r24_permutation_null", "r18_r20_block_bootstrap", "m15_m17_rolling_mixture"):
+        QUERIES[name](spark, SF)
+    assert asked == {"r24": 1000, "r18": 2000, "m15": {}}
+
+
+@pytest.mark.parametrize("name, key", [("m13_fhs", "tail"), ("m14_conformal_scale", "c")])
+def test_tails_of_every_date(name, key, spark):
+    part, whole = ({r.pos: r[key] for r in QUERIES[n](spark, SF).collect()} for n in (name, name + "_whole"))
+    assert part and all(abs(whole[k] - v) < 2e-6 for k, v in part.items())
+    assert sorted(whole) == list(range(min(whole), 2289)) and min(whole) <= min(part)
 
 
 @pytest.mark.parametrize("name, key", [("w11_vol_ewma", "ewma"), ("w22_smooth_signal", "smooth"), ("w26_ewma_corr", "rho"), ("t07_t12_winners", "hi")])
