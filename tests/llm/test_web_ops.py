@@ -100,6 +100,14 @@ def test_search_recall_ties_and_edges(spark):
     assert [r.vec_id for r in copies] == [i for i in range(100, 400) if i != 150][: len(copies)]
 
 
+def test_url_models_learn_from_all_hosts(spark):
+    hosts = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghi'[k // 1000]}.example.org" for k in range(2500)]
+    df = spark.createDataFrame([(k, f"https://{h}/{k % 7}/about") for k, h in enumerate(hosts)], "page_id long, url string")
+    ratio = url_filter.Ratio(hosts)
+    for r in url_filter.judge(df).where("page_id % 100 = 0").collect():
+        assert abs(r.score - (ratio.score(f"https://{hosts[r.page_id]}/{r.page_id % 7}/about") - ratio.threshold)) < 1e-9
+
+
 @pytest.mark.parametrize("n", [2000, 2500])
 def test_distance_ratio_alone_chooses_lists(n):
     rng = np.random.default_rng(1)
