@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.joins import asof_backward
 from quantloom.operators.windows import series
 
 T_PLUS_1_FROM = "2023-07-31"
@@ -14,13 +15,15 @@ def ex_dates(records: DataFrame, calendar: DataFrame, change: str = T_PLUS_1_FRO
     """records (ticker, record_date, ...) with ex_date: the first trading day whose settlement falls after the record.
 
     Trades settled two trading days later before `change`, one day later from it on. A record before the calendar is
-    its own ex-date, one after its last day has none yet (null). The calendar is a dimension table, and broadcast."""
+    its own ex-date, one after its last day has none yet (null). Calendar and events, a few a name and year, are sorted
+    together once."""
     w = Window.orderBy("date")
-    days = calendar.select(F.col("date").alias("_at"), F.lag("date").over(w).alias("_before"), F.lead("date").over(w).alias("_next"))
-    j = records.join(F.broadcast(days), (F.col("record_date") >= F.col("_at")) & (F.col("_next").isNull() | (F.col("record_date") < F.col("_next"))), "left")
-    ended = F.col("_next").isNull() & (F.col("record_date") > F.col("_at"))
-    ex = F.when(ended, None).when(F.col("_before") < F.lit(change).cast("date"), F.col("_before")).otherwise(F.coalesce("_at", "record_date"))
-    return j.withColumn("ex_date", ex).drop("_at", "_before", "_next")
+    at = F.struct(F.col("date").alias("at"), F.lag("date").over(w).alias("before"), F.lead("date").over(w).alias("next"))
+    days = calendar.select(F.col("date").alias("record_date"), at.alias("_day"))
+    j = asof_backward(records, days, "record_date", "_day")
+    ended = F.col("_day.next").isNull() & (F.col("record_date") > F.col("_day.at"))
+    ex = F.when(ended, None).when(F.col("_day.before") < F.lit(change).cast("date"), F.col("_day.before")).otherwise(F.coalesce("_day.at", "record_date"))
+    return j.withColumn("ex_date", ex).drop("_day")
 
 
 def adjusted_close(prices: DataFrame, events: DataFrame) -> DataFrame:

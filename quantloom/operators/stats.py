@@ -223,13 +223,29 @@ def block_bootstrap(x: DataFrame, cols: list[str], order: str, fn, replicates: i
 
 
 def permutation_ic(panel: DataFrame, signal: str, forward: str, n: int, seed: int = 0, least: int = 10) -> DataFrame:
-    """(trial, ic): mean daily IC of signals shuffled within each date, n times."""
-    both = panel.where(F.col(signal).isNotNull() & F.col(forward).isNotNull()).select("date", "ticker", signal, forward)
-    trials = both.crossJoin(F.broadcast(panel.sparkSession.range(n).select(F.col("id").alias("trial"))))
-    w = Window.partitionBy("trial", "date")
-    order = F.xxhash64(F.lit(seed), "trial", "date", "ticker")
-    ranked = trials.withColumns({"_a": F.row_number().over(w.orderBy(order)), "_f": F.rank().over(w.orderBy(forward)), "_n": F.count("*").over(w)}).where(F.col("_n") >= least)
-    return ranked.groupBy("trial", "date").agg(safe_corr("_a", "_f").alias("ic")).groupBy("trial").agg(F.avg("ic").alias("ic"))
+    """(trial, ic): mean daily IC of signals shuffled within each date, n times.
+
+    Shuffled ranks need no signal, only how many names a date has; a month's dates make their n shuffles in one
+    group, which returns n partial sums, so that no row is repeated n times."""
+    from quantloom.operators.xsection import pct_rank
+
+    both = panel.where(F.col(signal).isNotNull() & F.col(forward).isNotNull()).select("date", forward)
+    ranked = both.withColumn("f", pct_rank(forward)).select("date", "f", F.trunc("date", "month").alias("_month"))
+
+    def shuffle(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, days = np.zeros(n), np.zeros(n, int)
+        for day, g in pdf.groupby("date"):
+            f = np.sort(g["f"].to_numpy(float))
+            if len(f) < least or f[0] == f[-1]:
+                continue
+            f = (f - f.mean()) / f.std()
+            a = np.random.default_rng([seed, day.toordinal()]).permuted(np.tile(np.arange(len(f), dtype=float), (n, 1)), axis=1)
+            total += (a - a.mean(1, keepdims=True)) @ f / (len(f) * a[0].std())
+            days += 1
+        return pd.DataFrame({"trial": np.arange(n), "s": total, "n": days})
+
+    sums = ranked.groupBy("_month").applyInPandas(shuffle, "trial long, s double, n long")
+    return sums.groupBy("trial").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("ic"))
 
 
 def block_permute(panel: DataFrame, block: int, seed: int = 0) -> DataFrame:

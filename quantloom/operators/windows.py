@@ -81,24 +81,23 @@ def stale(x: Column, limit: int = 5, **kw) -> Column:
     return x.isNull() & bounded_ffill(x, limit, **kw).isNotNull()
 
 
-def ewm(df: DataFrame, x: str, out: str, keep: float, least: int = 1, by: Keys = "ticker", order: Keys = "date", seed: float | None = None) -> DataFrame:
+def ewm(df: DataFrame, x: Keys, out: Keys, keep: float, least: int = 1, by: Keys = "ticker", order: Keys = "date", seed: float | None = None) -> DataFrame:
     """df with out: s = keep*s + (1-keep)*x along each series, from the first value (or from `seed`); nulls carry s on.
 
-    Null until `least` values. A recursion has no window form, so one series at a time goes through a pandas scan
-    (linear in its length); series are calendars long, not data long."""
-    by, order = _list(by), _list(order)
+    x and out may be lists: all recursions take one pass. Null until `least` values. A recursion has no window form, so
+    one series at a time goes through a pandas scan (linear in its length); series are calendars long, not data long."""
+    xs, outs, by, order = _list(x), _list(out), _list(by), _list(order)
+
+    def one(v: pd.Series) -> pd.Series:
+        s = (v if seed is None else pd.concat([pd.Series([seed]), v])).ewm(alpha=1 - keep, adjust=False, ignore_na=True).mean().to_numpy()[0 if seed is None else 1 :]
+        s = np.where(v.notna().cumsum() < least, np.nan, s)
+        return pd.Series(s, v.index).astype(object).where(~np.isnan(s), None)
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        v = pdf[x].astype(float)
-        if seed is not None:
-            v = pd.concat([pd.Series([seed]), v])
-        s = v.ewm(alpha=1 - keep, adjust=False, ignore_na=True).mean()
-        if seed is not None:
-            s = s.iloc[1:]
-        pdf[out] = s.to_numpy()
-        pdf.loc[(pdf[x].notna().cumsum() < least).to_numpy(), out] = np.nan
-        pdf[out] = pdf[out].astype(object).where(pdf[out].notna(), None)
-        return pdf
-
-    return df.groupBy(*by).applyInPandas(scan, df.select("*").schema.add(out, "double"))
+        return pdf.assign(**{o: one(pdf[c].astype(float)) for c, o in zip(xs, outs, strict=True)})
+
+    schema = df.select("*").schema
+    for o in outs:
+        schema = schema.add(o, "double")
+    return df.groupBy(*by).applyInPandas(scan, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators import panel as pn
+from quantloom.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,8 +46,10 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense daily panel: raw, close (filled 5 rows), stale, ret, value."""
-    p = prices(spark, sf_dir)
+    """The dense daily panel: raw, close (filled 5 rows), stale, ret, value.
+
+    The daily prices are written once: dates, names and cells all come from them, so that the bars are read once."""
+    p = written(prices(spark, sf_dir), "daily")
     return pn.daily_panel(p, p.select("date").distinct())
 
 

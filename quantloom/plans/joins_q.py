@@ -95,22 +95,13 @@ def p08_roll_window_filter(spark, d):
     return joins.in_windows(prices(spark, d).select("ticker", "date", "close"), F.broadcast(windows), "ticker", "date")
 
 
-@query("with " + DENSE + """, x as (select ticker, ret as r, dense_rank() over (order by date) as pos from p where date >= date '2000-01-01')
+@query("with " + DENSE + """, x as (select ticker, ret as r, dense_rank() over (order by date) as pos from p)
 select a.ticker as leader, b.ticker as follower, count(*) as n, round(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0), 6) as rho from x a join x b on b.pos = a.pos + 2 and a.ticker <> b.ticker where a.r is not null and b.r is not null group by all having count(*) >= 30""")
 def j16_j17_r28_offset_pairs(spark, d):
-    return _offset_pairs(panel(spark, d).where("date >= date'2000-01-01'"))
-
-
-@query()
-def j16_j17_r28_offset_pairs_whole(spark, d):
-    """All dates; the SQL above has those from 2000 on."""
-    return _offset_pairs(panel(spark, d))
-
-
-def _offset_pairs(x):
     """Lagged cross-correlation of ordered pairs. A market calendar has one row a day."""
     from pyspark.sql import Window
 
+    x = panel(spark, d)
     pos = x.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))
     x = x.join(F.broadcast(pos), "date").where("ret is not null").select("ticker", "pos", F.col("ret").alias("r"))
     j = joins.offset_self_join(x, 2)

@@ -38,40 +38,20 @@ def m12_rolling_xs_fit(spark, d):
     return md.rolling_xs_fit(p, "y", ["m5", "s20"]).where("fit is not null").select("date", "ticker", "fit")
 
 
-TAIL = f"z0 as (select date, ticker, dense_rank() over (order by date) - 1 as pos, lead(ret) over (partition by ticker order by date) / nullif(case when count(ret) over {w(20)} >= 10 then stddev_samp(ret) over {w(20)} end, 0) as z from p), tt as (select distinct pos as t from z0 where pos % 50 = 0), bb as (select t, z from z0 join tt on pos <= t - 1 and pos > t - 1 - 250 where z is not null), qq as (select t, quantile_cont(z, 0.05) as q from bb group by 1 having count(*) >= 500)"
+TAIL = f"z0 as (select date, ticker, dense_rank() over (order by date) - 1 as pos, lead(ret) over (partition by ticker order by date) / nullif(case when count(ret) over {w(20)} >= 10 then stddev_samp(ret) over {w(20)} end, 0) as z from p), tt as (select distinct pos as t from z0), bb as (select t, z from z0 join tt on pos <= t - 1 and pos > t - 1 - 250 where z is not null), qq as (select t, quantile_cont(z, 0.05) as q from bb group by 1 having count(*) >= 500)"
 
 
 @query("with " + DENSE + ", " + TAIL + " select bb.t as pos, round(any_value(q), 6) as q, round(avg(z), 6) as tail from bb join qq on bb.t = qq.t and z <= q group by 1")
 def m13_fhs(spark, d):
-    return _fhs(spark, d, 50)
-
-
-@query()
-def m13_fhs_whole(spark, d):
-    """Every date; the SQL above has one of 50."""
-    return _fhs(spark, d, 1)
-
-
-def _fhs(spark, d, every):
     z = F.lead("ret").over(wn.series()) / F.nullif(wn.rolling_std(F.col("ret"), 20, 10), F.lit(0.0))
-    t = md.pooled_tail(positions(spark, d).withColumn("z", z), "z", 0.05, 1, every=every)
+    t = md.pooled_tail(positions(spark, d).withColumn("z", z), "z", 0.05, 1)
     return t.select("pos", r("q").alias("q"), r("tail").alias("tail"))
 
 
-@query("with " + DENSE + f", c0 as (select dense_rank() over (order by date) - 1 as pos, lead(ret) over (partition by ticker order by date) as y, case when count(ret) over {w(120)} >= 60 then quantile_cont(ret, 0.05) over {w(120)} end as q from p), tt as (select distinct pos as t from c0 where pos % 50 = 0), bb as (select t, y / abs(q) as x from c0 join tt on pos <= t - 1 and pos > t - 1 - 250 where q < 0 and y is not null) select t as pos, round(-quantile_cont(x, 0.05), 6) as c from bb group by 1 having count(*) >= 500")
+@query("with " + DENSE + f", c0 as (select dense_rank() over (order by date) - 1 as pos, lead(ret) over (partition by ticker order by date) as y, case when count(ret) over {w(120)} >= 60 then quantile_cont(ret, 0.05) over {w(120)} end as q from p), tt as (select distinct pos as t from c0), bb as (select t, y / abs(q) as x from c0 join tt on pos <= t - 1 and pos > t - 1 - 250 where q < 0 and y is not null) select t as pos, round(-quantile_cont(x, 0.05), 6) as c from bb group by 1 having count(*) >= 500")
 def m14_conformal_scale(spark, d):
-    return _conformal_scale(spark, d, 50)
-
-
-@query()
-def m14_conformal_scale_whole(spark, d):
-    """Every date; the SQL above has one of 50."""
-    return _conformal_scale(spark, d, 1)
-
-
-def _conformal_scale(spark, d, every):
     p = positions(spark, d).withColumns({"y": F.lead("ret").over(wn.series()), "q": wn.rolling_quantile(F.col("ret"), 0.05, 120, 60)})
-    return md.conformal_scale(p, "y", "q", 0.05, 1, every=every).select("pos", r("c").alias("c"))
+    return md.conformal_scale(p, "y", "q", 0.05, 1).select("pos", r("c").alias("c"))
 
 
 @query()

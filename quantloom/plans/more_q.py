@@ -49,19 +49,9 @@ def j05_j22_compared_metrics(spark, d):
     return a.join(b, "ticker").select("ticker", "n", r(F.col("a") - F.col("b")).alias("delta"))
 
 
-@query("with " + DENSE + ", x as (select date, ticker, ret, row_number() over (partition by date order by abs(ret) desc nulls last, ticker) as k from p where date between date '1996-01-01' and date '1996-03-31') select date, any_value(ticker) filter (k = 1) as top, round(min(ret), 6) as lo, round(max(ret), 6) as hi from x where ret is not null group by 1")
+@query("with " + DENSE + ", x as (select date, ticker, ret, row_number() over (partition by date order by abs(ret) desc nulls last, ticker) as k from p) select date, any_value(ticker) filter (k = 1) as top, round(min(ret), 6) as lo, round(max(ret), 6) as hi from x where ret is not null group by 1")
 def t07_t12_winners(spark, d):
-    return _winners(panel(spark, d).where("date between date'1996-01-01' and date'1996-03-31'"))
-
-
-@query()
-def t07_t12_winners_whole(spark, d):
-    """All dates; the SQL above has three months."""
-    return _winners(panel(spark, d))
-
-
-def _winners(p):
-    p = p.where("ret is not null")
+    p = panel(spark, d).where("ret is not null")
     best = F.min_by("ticker", F.struct(-F.abs("ret"), F.col("ticker")))
     return p.groupBy("date").agg(best.alias("top"), r(F.min("ret")).alias("lo"), r(F.max("ret")).alias("hi"))
 
@@ -166,16 +156,9 @@ def m18_log_rv_blocks(spark, d):
     return panel(spark, d).select("date", "ticker", r(F.ln(wn.rolling_sum(sq, 5, 5) + 1e-7)).alias("lrv"))
 
 
-@query("with " + DENSE + ", h as (select ticker, year(date) as y, case when sign(ret) = sign(lead(ret) over (partition by ticker order by date)) then 1.0::double else 0 end as hit from p where ret is not null) select ticker, round(avg(hit) filter (y = 1995), 6) as y1995, round(avg(hit) filter (y = 1996), 6) as y1996, round(avg(hit) filter (y = 1997), 6) as y1997 from h group by 1")
+@query("with " + DENSE + ", h as (select ticker, year(date) as y, case when sign(ret) = sign(lead(ret) over (partition by ticker order by date)) then 1.0::double else 0 end as hit from p where ret is not null) select ticker, y as year, round(avg(hit), 6) as accuracy from h group by all")
 def c33_accuracy_table(spark, d):
-    """The heat map's table: accuracy of each name by period."""
-    h = _hits(spark, d)
-    return h.groupBy("ticker").pivot("y", [1995, 1996, 1997]).agg(F.round(F.avg("hit"), 6)).select("ticker", *(F.col(str(y)).alias(f"y{y}") for y in (1995, 1996, 1997)))
-
-
-@query()
-def c33_accuracy_table_whole(spark, d):
-    """The same with a row for every year that there is."""
+    """The heat map's table: accuracy of each name by period, in rows."""
     return _hits(spark, d).groupBy("ticker", F.col("y").alias("year")).agg(r(F.avg("hit")).alias("accuracy"))
 
 

@@ -44,19 +44,9 @@ def f04_f10_var_es(spark, d):
     return vectors(spark, d).select("vec_id", r(v).alias("var"), r(e).alias("es"), r(qt.var_es(q, 0.01)[1]).alias("es1"))
 
 
-@query("with " + Q + ", g as (select *, list_transform(range(0, 199), lambda i: (i + 0.5::double) / 199) as g from q), x as (select vec_id, label, list_transform(g, lambda v: case when v < u[1] then q[1] when v > u[21] then q[21] else q[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20)] + (v - u[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20)]) / (u[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20) + 1] - u[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20)]) * (q[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20) + 1] - q[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20)]) end) as z from g where vec_id < 200) select label, round(sum(list_sum(list_transform(z, lambda x: exp(x))) / 199), 5) as e from x group by 1")
+@query("with " + Q + ", g as (select *, list_transform(range(0, 199), lambda i: (i + 0.5::double) / 199) as g from q), x as (select vec_id, label, list_transform(g, lambda v: case when v < u[1] then q[1] when v > u[21] then q[21] else q[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20)] + (v - u[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20)]) / (u[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20) + 1] - u[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20)]) * (q[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20) + 1] - q[least(greatest(len(list_filter(u, lambda x: x <= v)), 1), 20)]) end) as z from g) select label, round(sum(list_sum(list_transform(z, lambda x: exp(x))) / 199), 5) as e from x group by 1")
 def f05_f11_mean_exp(spark, d):
-    return _mean_exp(vectors(spark, d).where("vec_id < 200"))
-
-
-def _mean_exp(v):
-    return v.groupBy("label").agg(r(F.sum(qt.mean_exp(F.col("q"))), 5).alias("e"))
-
-
-@query()
-def f05_f11_mean_exp_whole(spark, d):
-    """All vectors; the SQL above has some, as it is too slow for all."""
-    return _mean_exp(vectors(spark, d))
+    return vectors(spark, d).groupBy("label").agg(r(F.sum(qt.mean_exp(F.col("q"))), 5).alias("e"))
 
 
 @query("with " + Q + KNOTS + ", f as (select label, vec_id % 6 + 1 as h, q[11] as med, mo.m1, greatest(m2 - m1 * m1, 0) as v, q[21] + q[1] - 2 * q[11] as sk from mo join q using (vec_id, label)) select label, round(sum(med), 5) as med, round(sum(m1), 5) as mu, round(sqrt(sum(v)), 5) as sig, count(*) as n from f where h between 2 and 6 group by 1")

@@ -200,19 +200,10 @@ def r26_r40_mcnemar_and_binomial_p(spark, d):
     return st.benjamini_hochberg(c, "p", "ticker", "p_bh")
 
 
-@query("with " + DENSE + f", e as (select ticker, date, ret, abs(ret) > 1.5 * case when count(ret) over {w(60, 1)} >= 20 then stddev_samp(ret) over {w(60, 1)} end as ev, dense_rank() over (order by date) as pos from p where date < date '1997-01-01') select a.ticker as leader, b.ticker as follower, b.pos - a.pos as lag, count(*) as n_events, round(avg(case when sign(a.ret) = sign(b.ret) then 1.0::double else 0 end), 6) as same_dir, round(avg(b.ret * sign(a.ret)), 5) as response from e a join e b on b.pos - a.pos between 1 and 2 and a.ticker <> b.ticker where a.ev and b.ret is not null group by all having count(*) >= 5")
+@query("with " + DENSE + f", e as (select ticker, date, ret, abs(ret) > 1.5 * case when count(ret) over {w(60, 1)} >= 20 then stddev_samp(ret) over {w(60, 1)} end as ev, dense_rank() over (order by date) as pos from p) select a.ticker as leader, b.ticker as follower, b.pos - a.pos as lag, count(*) as n_events, round(avg(case when sign(a.ret) = sign(b.ret) then 1.0::double else 0 end), 6) as same_dir, round(avg(b.ret * sign(a.ret)), 5) as response from e a join e b on b.pos - a.pos between 1 and 2 and a.ticker <> b.ticker where a.ev and b.ret is not null group by all having count(*) >= 5")
 def r29_r30_r31_event_response(spark, d):
-    return _event_response(panel(spark, d).where("date < date'1997-01-01'"))
-
-
-@query()
-def r29_r30_r31_event_response_whole(spark, d):
-    """All dates; the SQL above has those before 1997."""
-    return _event_response(panel(spark, d))
-
-
-def _event_response(p):
     """Every (leader, follower, lag) in one grouped join: rows are dates times names, pairs stay within a lag."""
+    p = panel(spark, d)
     pos = p.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))
     sd = wn.rolling_std(F.col("ret"), 60, 20, lag=1)
     e = p.withColumn("ev", F.coalesce(F.abs("ret") > 1.5 * sd, F.lit(False))).join(F.broadcast(pos), "date").select("ticker", "pos", "ret", "ev")

@@ -60,19 +60,15 @@ def w10_w12_w37_vol_and_blocks(spark, d):
     return panel(spark, d).select("date", "ticker", r(wn.gated(F.var_samp(x), x, wn.trailing(20), 20), 8).alias("v20"), r(wn.rolling_mean(sq, 5, 5), 8).alias("har_w"), r(wn.rolling_mean(sq, 22, 22), 8).alias("har_m"), r(wn.rolling_sum(x, 5, 5)).alias("block5"))
 
 
-@query("with " + DENSE + ", q as (select *, ret * ret as x, list(ret * ret) filter (ret is not null) over (partition by ticker order by date rows unbounded preceding) as h from p where date < date '1997-01-01') select date, ticker, case when len(h) >= 20 then round(list_reduce(h, lambda a, b: 0.94::double * a + (1 - 0.94::double) * b), 9) end as ewma from q")
-def w11_vol_ewma(spark, d):
-    return _vol_ewma(panel(spark, d).where("date < date'1997-01-01'"))
-
-
-@query()
-def w11_vol_ewma_whole(spark, d):
-    """All dates; the SQL above has some, as its lists grow with the square of the dates."""
-    return _vol_ewma(panel(spark, d))
+def ewm_sql(src: str, x: str, keep: str) -> str:
+    """ew: src with s, the recursive mean of x from its first value, as a scaled running sum; i counts the values."""
+    scaled = f"case when i = 1 then {x} else {x} * (1 - {keep}) * pow({keep}, 1 - i) end"
+    return f"ew0 as (select *, count({x}) over (partition by ticker order by date rows unbounded preceding) as i from {src}), ew as (select *, pow({keep}, i - 1) * sum({scaled}) over (partition by ticker order by date rows unbounded preceding) as s from ew0)"
 
 
-def _vol_ewma(p):
-    p = p.select("date", "ticker", (F.col("ret") * F.col("ret")).alias("x"))
+@query("with " + DENSE + ", q as (select *, ret * ret as x from p), " + ewm_sql("q", "x", "0.94::double") + " select date, ticker, case when i >= 20 then round(s, 9) end as ewma from ew")
+def w11_vol_ewma(spark, d):
+    p = panel(spark, d).select("date", "ticker", (F.col("ret") * F.col("ret")).alias("x"))
     return wn.ewm(p, "x", "ewma", 0.94, 20).select("date", "ticker", r("ewma", 9).alias("ewma"))
 
 
@@ -124,19 +120,9 @@ def w20_rolling_vol_scale(spark, d):
     return x.select("date", r(wn.gated(F.percentile("ratio", F.lit(0.5)), F.col("ratio"), v, 60)).alias("scale"))
 
 
-@query("with " + DENSE + ", " + RANK + ", z as (select *, coalesce((pr - avg(pr) over (partition by date)) / nullif(stddev_samp(pr) over (partition by date), 0), pr * 0) as z from rk where date < date '1996-06-30'), h as (select *, list(z) filter (z is not null) over (partition by ticker order by date rows unbounded preceding) as l from z) select date, ticker, round(list_reduce(l, lambda a, b: pow(0.5::double, 0.2::double) * a + (1 - pow(0.5::double, 0.2::double)) * b), 6) as smooth from h where len(l) > 0")
+@query("with " + DENSE + ", " + RANK + ", z as (select *, coalesce((pr - avg(pr) over (partition by date)) / nullif(stddev_samp(pr) over (partition by date), 0), pr * 0) as z from rk), " + ewm_sql("z", "z", "pow(0.5::double, 0.2::double)") + " select date, ticker, round(s, 6) as smooth from ew where i > 0")
 def w22_smooth_signal(spark, d):
-    return _smooth_signal(panel(spark, d).where("date < date'1996-06-30'"))
-
-
-@query()
-def w22_smooth_signal_whole(spark, d):
-    """All dates; the SQL above has some."""
-    return _smooth_signal(panel(spark, d))
-
-
-def _smooth_signal(p):
-    p = p.withColumn("pr", xs.pct_rank("ret")).withColumn("z", xs.standardized("pr"))
+    p = panel(spark, d).withColumn("pr", xs.pct_rank("ret")).withColumn("z", xs.standardized("pr"))
     s = wn.ewm(p.select("date", "ticker", "z"), "z", "smooth", 0.5 ** (1 / 5))
     return s.where("smooth is not null").select("date", "ticker", r("smooth").alias("smooth"))
 
@@ -163,40 +149,20 @@ def w24_basel_traffic_light(spark, d):
     return h.withColumn("exceptions", k).select("date", "ticker", "exceptions", F.when(F.col("exceptions") <= 4, "green").when(F.col("exceptions") <= 9, "yellow").when(F.col("exceptions") > 9, "red").alias("zone"))
 
 
-@query("with " + DENSE + f", q as (select *, case when count(ret) over {w(250)} >= 100 then quantile_cont(ret, 0.05) over {w(250)} end as v, list(ret) filter (ret is not null) over {w(250)} as l from p where ticker in ('NATION_6', 'NATION_18', 'NATION_12')) select date, ticker, round(v, 6) as var, round(list_avg(list_filter(l, lambda x: x <= v)), 6) as es from q where v is not null")
+@query("with " + DENSE + f", q as (select *, case when count(ret) over {w(250)} >= 100 then quantile_cont(ret, 0.05) over {w(250)} end as v, list(ret) filter (ret is not null) over {w(250)} as l from p) select date, ticker, round(v, 6) as var, round(list_avg(list_filter(l, lambda x: x <= v)), 6) as es from q where v is not null")
 def w25_hs_var_es(spark, d):
-    return _hs_var_es(panel(spark, d).where(F.col("ticker").isin("NATION_6", "NATION_18", "NATION_12")))
-
-
-@query()
-def w25_hs_var_es_whole(spark, d):
-    """All names; the SQL above has three, as it is too slow for all."""
-    return _hs_var_es(panel(spark, d))
-
-
-def _hs_var_es(p):
-    p = p.withColumns({"v": wn.rolling_quantile(F.col("ret"), 0.05, 250, 100), "l": F.collect_list("ret").over(wn.trailing(250))}).where("v is not null")
+    p = panel(spark, d).withColumns({"v": wn.rolling_quantile(F.col("ret"), 0.05, 250, 100), "l": F.collect_list("ret").over(wn.trailing(250))}).where("v is not null")
     tail = F.filter("l", lambda x: x <= F.col("v"))
     return p.select("date", "ticker", r("v").alias("var"), r(F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / F.size(tail)).alias("es"))
 
 
-@query("with " + DENSE + ", " + MK + ", j as (select p.date, ticker, ret, m, row_number() over (partition by ticker order by date) as i from p join mk using (date) where date < date '1996-06-30' and ret is not null and m is not null), h as (select *, list([ret * m, ret * ret, m * m]) over (partition by ticker order by date rows unbounded preceding) as l from j), s as (select *, list_reduce(l, lambda a, b: [0.97::double * a[1] + 0.03::double * b[1], 0.97::double * a[2] + 0.03::double * b[2], 0.97::double * a[3] + 0.03::double * b[3]], [0.0::double, 0.0::double, 0.0::double]) as v from h where i >= 60) select date, ticker, round(v[1] / sqrt(v[2] * v[3]), 6) as rho from s")
+@query("with " + DENSE + ", " + MK + ", j as (select p.date, ticker, ret, m, row_number() over (partition by ticker order by date) as i from p join mk using (date) where ret is not null and m is not null), s as (select date, ticker, i, sum(ret * m * pow(0.97::double, -i)) over u as xy, sum(ret * ret * pow(0.97::double, -i)) over u as xx, sum(m * m * pow(0.97::double, -i)) over u as yy from j window u as (partition by ticker order by date rows unbounded preceding)) select date, ticker, round(xy / sqrt(xx * yy), 6) as rho from s where i >= 60")
 def w26_ewma_corr(spark, d):
-    return _ewma_corr(panel(spark, d).where("date < date'1996-06-30'"))
-
-
-@query()
-def w26_ewma_corr_whole(spark, d):
-    """All dates; the SQL above has some."""
-    return _ewma_corr(panel(spark, d))
-
-
-def _ewma_corr(p):
+    p = panel(spark, d)
     m = p.groupBy("date").agg(F.avg("ret").alias("m"))
     j = p.join(m, "date").where("ret is not null and m is not null")
     j = j.select("date", "ticker", (F.col("ret") * F.col("m")).alias("xy"), (F.col("ret") * F.col("ret")).alias("xx"), (F.col("m") * F.col("m")).alias("yy"))
-    for c in ("xy", "xx", "yy"):
-        j = wn.ewm(j, c, f"s{c}", 0.97, 60, seed=0.0)
+    j = wn.ewm(j, ["xy", "xx", "yy"], ["sxy", "sxx", "syy"], 0.97, 60, seed=0.0)
     return j.where("sxy is not null").select("date", "ticker", r(F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("rho"))
 
 
