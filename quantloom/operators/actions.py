@@ -77,3 +77,25 @@ def rank_universe(rows: DataFrame, top: int, min_history: int, max_missing: floa
     w = Window.partitionBy("_ok").orderBy(F.desc_nulls_last("turnover"), "ticker")
     out = rows.withColumn("_why", why).withColumn("_ok", F.col("_why").isNull()).withColumn("rank", F.when(F.col("_ok"), F.row_number().over(w)))
     return out.withColumn("status", F.when(~F.col("_ok"), F.col("_why")).when(F.col("rank") <= top, "selected").otherwise("below cut")).drop("_ok", "_why")
+
+
+def contract_id(code: Column, month: Column, year: Column) -> Column:
+    """Code, month and the year's last digit: ids repeat every ten years."""
+    return F.concat(code, month.cast("string"), F.lit("-"), F.pmod(year, F.lit(10)).cast("string"))
+
+
+def contract_candidates(spark, codes: list[str], months: list[int], first: int, last: int) -> DataFrame:
+    """(contract, expected): every code, month and year of the span with the middle of its month. Three small lists."""
+    each = spark.range(first, last + 1).select(F.col("id").cast("int").alias("y")).select("y", F.explode(F.array(*map(F.lit, months))).alias("m")).select("y", "m", F.explode(F.array(*map(F.lit, codes))).alias("code"))
+    return each.select(contract_id(F.col("code"), F.col("m"), F.col("y")).alias("contract"), F.make_date("y", "m", F.lit(15)).alias("expected"))
+
+
+def resolve_contracts(candidates: DataFrame, known: DataFrame, days: int = 62) -> DataFrame:
+    """Candidates with their metadata (contract, last_trade), but for those that belong to another decade."""
+    return candidates.join(known, "contract").where(F.abs(F.datediff("last_trade", "expected")) <= days)
+
+
+def dividends(dump: DataFrame, json: str) -> DataFrame:
+    """(ticker, record_date, value) from nested documents {dividends: [{record_date, value}]}."""
+    rows = F.from_json(json, "dividends array<struct<record_date:date,value:double>>")["dividends"]
+    return dump.select("ticker", F.explode(rows).alias("d")).select("ticker", "d.record_date", "d.value")

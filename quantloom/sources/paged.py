@@ -61,6 +61,22 @@ def demo_pages(key: str, start: int) -> tuple[list[list], int | None]:
     return rows[start : start + 3], len(rows)
 
 
+_failed: set[tuple[str, int]] = set()
+
+
+def demo_service(key: str, start: int) -> tuple[list[list], int | None]:
+    """The same from a service that fails the first time each page is asked for, and doesn't tell its total."""
+    if (key, start) not in _failed:
+        _failed.add((key, start))
+        raise TransientError("try again")
+    return demo_pages(key, start)[0], None
+
+
+def demo_days(key: str, start: int) -> tuple[list[list], int | None]:
+    """Rows of one day, a key YYYY-MM-DD: as many as the day of its month modulo 5."""
+    return [[i, f"{key}#{i}"] for i in range(int(key[8:]) % 5)][start:], None
+
+
 class _Key(InputPartition):
     def __init__(self, key: str):
         self.key = key
@@ -76,7 +92,9 @@ class PagedReader(DataSourceReader):
     def read(self, partition: _Key) -> Iterator[tuple]:
         module, _, name = self.options["transport"].partition(":")
         cap = self.options.get("cap")
-        for row in fetch_rows(getattr(importlib.import_module(module), name), partition.key, int(cap) if cap else None):
+        wait = float(self.options.get("pause", "1"))
+        call = getattr(importlib.import_module(module), name)
+        for row in fetch_rows(call, partition.key, int(cap) if cap else None, pause=lambda s: time.sleep(s * wait)):
             yield (partition.key, *row)
 
 

@@ -6,6 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,16 @@ def stale_tasks(plan: DataFrame, manifest: DataFrame, keys: list[str], current_m
     return plan.where(~now).join(done, keys, "left_anti").unionByName(plan.where(now))
 
 
+def manifest(needs: list[DataFrame], keys: list[str]) -> DataFrame:
+    """What several configurations need, each key once."""
+    return reduce(DataFrame.unionByName, needs).dropDuplicates(keys)
+
+
+def union_of(parts: dict[str, DataFrame], label: str) -> DataFrame:
+    """Tables of equal columns as one, with the name of each in `label`."""
+    return reduce(DataFrame.unionByName, (v.withColumn(label, F.lit(k)) for k, v in parts.items()))
+
+
 def write_chunks(df: DataFrame, path: str, partition: list[str]) -> None:
     """Replaces the partitions that df holds, and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
@@ -128,9 +139,14 @@ def to_markdown(df: DataFrame, n: int = 20) -> str:
 
 def block_rows(spark: SparkSession, payload: str, block: str) -> DataFrame:
     """Rows of a {block: {columns, data}} document, one string map each."""
-    doc = json.loads(payload).get(block) or {"columns": [], "data": []}
-    rows = [({c: None if v is None else str(v) for c, v in zip(doc["columns"], r, strict=True)},) for r in doc["data"]]
-    return spark.createDataFrame(rows, "row map<string,string>")
+    return blocks(spark.createDataFrame([(payload,)], "payload string"), "payload", block).select("row")
+
+
+def blocks(df: DataFrame, payload: str, block: str) -> DataFrame:
+    """df with row, a map from column name to value, for each row of its documents' block; none where it is absent."""
+    one = F.from_json(payload, f"`{block}` struct<columns:array<string>,data:array<array<string>>>")[block]
+    each = df.withColumn("_b", one).withColumn("_r", F.explode("_b.data"))
+    return each.withColumn("row", F.map_from_arrays("_b.columns", "_r")).drop("_b", "_r")
 
 
 @dataclass(frozen=True)
