@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quantloom.operators.joins import dedupe_last
+from quantloom.sources.tables import exists
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -32,8 +35,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "14 days")
     return g.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def deduplicated(events: DataFrame, late: str = "14 days") -> DataFrame:
-    return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
+def deduplicated(events: DataFrame, keys: list[str] | None = None, late: str = "14 days") -> DataFrame:
+    """(day, keys, last): of a day's events with equal keys the one with the latest (ts, event_id), as a struct.
+
+    The day is part of the key, so that the watermark can drop a day's state once it is past."""
+    keys = keys or ["event_id"]
+    g = _timed(events, late).groupBy(F.window("ts", "1 day").alias("w"), *keys)
+    last = F.max_by(F.struct(*(c for c in events.columns if c not in keys)), F.struct("ts", "event_id")).alias("last")
+    return g.agg(last).select(F.col("w.start").alias("day"), *keys, "last")
 
 
 def ewma_state(events: DataFrame, keep: float = 0.94) -> DataFrame:
@@ -52,11 +61,33 @@ def ewma_state(events: DataFrame, keep: float = 0.94) -> DataFrame:
     return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, n long, ewma double", "n long, s double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, partition: list[str], once: bool = True):
-    """Replaces the partitions that each batch touches; a batch that is run again writes the same."""
+def upsert(stream: DataFrame, path: str, checkpoint: str, partition: list[str], keys: list[str], seq: list[str], once: bool = True):
+    """Merges each batch into a partitioned table: of rows with equal keys the last by seq stays.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+    Of the table only the partitions that the batch touches are read; what they become is written beside the table
+    first, then replaces them, so that a batch that is run again ends the same. Keys lie within a partition."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        touched = batch.select(*partition).distinct()
+        old = [spark.read.schema(batch.schema).parquet(path).join(F.broadcast(touched), partition, "left_semi")] if exists(spark, path) else []
+        rows = old[0].unionByName(batch) if old else batch
+        stage = f"{checkpoint}/merged/{number}"
+        dedupe_last(rows, [*partition, *keys], seq).write.mode("overwrite").parquet(stage)
+        merged = spark.read.schema(batch.schema).parquet(stage)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+        batch.unpersist()
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if once else q).start()
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there and returns its last result, a table at path."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

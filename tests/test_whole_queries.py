@@ -1,4 +1,4 @@
-"""Queries over whole tables: every name and date has its result, and where SQL reads a part, that part agrees."""
+"""Queries over whole tables: every name and date has its result."""
 
 import numpy as np
 import pytest
@@ -24,12 +24,12 @@ def test_mean_exp_reads_all_vectors(spark):
     want = {}
     for r in table(spark, SF, "embeddings").select("label", "embedding").collect():
         want[r.label] = want.get(r.label, 0.0) + np.exp(np.interp(g, u, sorted(map(float, r.embedding[:21])))).mean()
-    got = {r.label: r.e for r in QUERIES["f05_f11_mean_exp_whole"](spark, SF).collect()}
+    got = {r.label: r.e for r in QUERIES["f05_f11_mean_exp"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
 
 def test_var_es_has_every_name(spark, whole_panel):
-    got = {(r.ticker, r.date): (r["var"], r.es) for r in QUERIES["w25_hs_var_es_whole"](spark, SF).collect()}
+    got = {(r.ticker, r.date): (r["var"], r.es) for r in QUERIES["w25_hs_var_es"](spark, SF).collect()}
     want = {}
     for t, g in whole_panel.groupby("ticker"):
         x, days = g.ret.to_numpy(float), g.date.to_list()
@@ -82,35 +82,21 @@ def test_draws_and_refits_are_the_full_counts(spark, monkeypatch):
     assert asked == {"r24": 1000, "r18": 2000, "m15": {}}
 
 
-@pytest.mark.parametrize("name, key", [("m13_fhs", "tail"), ("m14_conformal_scale", "c")])
-def test_tails_of_every_date(name, key, spark):
-    part, whole = ({r.pos: r[key] for r in QUERIES[n](spark, SF).collect()} for n in (name, name + "_whole"))
-    assert part and all(abs(whole[k] - v) < 2e-6 for k, v in part.items())
-    assert sorted(whole) == list(range(min(whole), 2289)) and min(whole) <= min(part)
-
-
-@pytest.mark.parametrize("name, key", [("w11_vol_ewma", "ewma"), ("w22_smooth_signal", "smooth"), ("w26_ewma_corr", "rho"), ("t07_t12_winners", "hi")])
-def test_slices_agree_with_all_dates(name, key, spark, whole_panel):
-    part, whole = ({(getattr(r, "ticker", None), r.date): r[key] for r in QUERIES[n](spark, SF).collect()} for n in (name, name + "_whole"))
-    assert part and all(whole[k] == v or abs(whole[k] - v) < 2e-6 for k, v in part.items() if v is not None)
-    assert max(d for _, d in whole) == whole_panel[whole_panel.ret.notna()].date.max()
-
-
 def test_accuracies_of_every_year(spark, whole_panel):
     x = whole_panel[whole_panel.ret.notna()].copy()
     x["hit"] = (np.sign(x.ret) == np.sign(x.groupby("ticker").ret.shift(-1))).astype(float)
     want = x.groupby(["ticker", x.date.map(lambda v: v.year)]).hit.mean().to_dict()
-    got = {(r.ticker, r.year): r.accuracy for r in QUERIES["c33_accuracy_table_whole"](spark, SF).collect()}
+    got = {(r.ticker, r.year): r.accuracy for r in QUERIES["c33_accuracy_table"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
 def test_pairs_over_all_dates(spark, whole_panel):
     wide = whole_panel.pivot(index="date", columns="ticker", values="ret").astype(float)
     late = wide.shift(-2)
-    got = {(r.leader, r.follower): (r.n, r.rho) for r in QUERIES["j16_j17_r28_offset_pairs_whole"](spark, SF).collect()}
+    got = {(r.leader, r.follower): (r.n, r.rho) for r in QUERIES["j16_j17_r28_offset_pairs"](spark, SF).collect()}
     sd = wide.shift(1).rolling(60, min_periods=20).std()
     event = wide.abs() > 1.5 * sd
-    seen = {(r.leader, r.follower, r.lag): r.n_events for r in QUERIES["r29_r30_r31_event_response_whole"](spark, SF).collect()}
+    seen = {(r.leader, r.follower, r.lag): r.n_events for r in QUERIES["r29_r30_r31_event_response"](spark, SF).collect()}
     assert got and seen
     for a in wide:
         for b in wide:
@@ -126,3 +112,58 @@ def test_forecasts_and_mixtures_of_all_years(spark):
     f = QUERIES["m03_m04_forecast"](spark, SF).agg(F.min("date").alias("a"), F.max("date").alias("z")).first()
     assert (f.a.year, f.z.year) == (1995, 2000)
     assert {r.year for r in QUERIES["m16_tail_mixture"](spark, SF).collect()} == set(range(1995, 2002))
+
+
+def test_garch_is_the_recursion_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(md, "nelder_mead", lambda f, x0, *a: x0)  # the start, as if it were the minimum
+    rng = np.random.default_rng(3)
+    x = rng.normal(scale=0.01, size=90)
+    rows = [("A", i, float(v) if i % 11 else None) for i, v in enumerate(x)]
+    got = {r.pos: r.variance for r in md.garch(spark.createDataFrame(rows, "ticker string, pos long, ret double"), "ret", [1, 2], 21, 30, 40).collect()}
+    want, fit, seen, nxt = {}, None, [], 0.0
+    for _, pos, v in rows:
+        if v is None:
+            continue
+        seen.append(v * 100)
+        if len(seen) < 30:
+            continue
+        if fit is None or pos % 21 == 0:
+            past = np.array(seen[-40:])
+            fit, nxt = md.fit_garch(past), float(np.var(past))
+            for e in past:
+                nxt = fit[1] + fit[2] * (e - fit[0]) ** 2 + fit[3] * nxt
+        else:
+            nxt = fit[1] + fit[2] * (seen[-1] - fit[0]) ** 2 + fit[3] * nxt
+        keep = fit[2] + fit[3]
+        level = fit[1] / (1 - keep)
+        want[pos] = sum(level + keep ** (h - 1) * (nxt - level) for h in (1, 2)) / 1e4
+    assert got.keys() == want.keys() and all(abs(got[k] / want[k] - 1) < 1e-9 for k in want)
+
+
+def test_mixtures_are_fitted_on_the_window_before(spark, monkeypatch):
+    monkeypatch.setattr(md, "fit_variance_mix", lambda logs, y: np.array([0.5, 0.5, float(len(y))]))
+    rows = [(t, p, 1.0 + p, 1.0, 4.0) for p in range(60) for t in "AB"]
+    df = spark.createDataFrame(rows, "ticker string, pos long, y double, fa double, fb double")
+    out = {r.pos: r.mix for r in md.rolling_mixture(df, "y", ["fa", "fb"], 2, 20, 7, 10).where("ticker = 'A' and mix is not null").collect()}
+    refit = {t: 2 * (min(t - 2, 59) - max(t - 22, -1)) for t in range(0, 60, 7) if 2 * (t - 1) >= 10}
+    assert out.keys() == set(range(min(refit), 60))
+    assert all(abs(np.log(out[p] / 2) - refit[max(t for t in refit if t <= p)]) < 1e-9 for p in out)
+
+
+def test_permutations_average_to_nothing(spark, whole_panel):
+    p = spark.createDataFrame([(r.date, r.ticker, r.ret, r.ret) for r in whole_panel.dropna(subset=["ret"]).itertuples()], "date date, ticker string, s double, f double")
+    x = np.array([r.ic for r in st.permutation_ic(p, "s", "f", 200).collect()])
+    assert len(x) == 200 and abs(x.mean()) < 0.01 and 0 < x.std() < 0.05
+    assert st.permutation_ic(p.limit(0), "s", "f", 5).count() == 0
+
+
+def test_pooled_tails_slide_over_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(p, float(rng.normal())) for p in range(95) for _ in range(3)]
+    got = {r.pos: (r.q, r.tail) for r in md.pooled_tail(spark.createDataFrame(rows, "pos long, z double"), "z", 0.1, 2, 20, 12).collect()}
+    for t in range(95):
+        v = np.array([z for p, z in rows if t - 22 < p <= t - 2])
+        assert (t in got) == (len(v) >= 12)
+        if t in got:
+            q = np.quantile(v, 0.1)
+            assert abs(got[t][0] - q) < 1e-12 and abs(got[t][1] - v[v <= q].mean()) < 1e-12
