@@ -114,8 +114,7 @@ def test_forecasts_and_mixtures_of_all_years(spark):
     assert {r.year for r in QUERIES["m16_tail_mixture"](spark, SF).collect()} == set(range(1995, 2002))
 
 
-def test_garch_is_the_recursion_row_by_row(spark, monkeypatch):
-    monkeypatch.setattr(md, "nelder_mead", lambda f, x0, *a: x0)  # the start, as if it were the minimum
+def test_garch_is_the_recursion_row_by_row(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(scale=0.01, size=90)
     rows = [("A", i, float(v) if i % 11 else None) for i, v in enumerate(x)]
@@ -140,14 +139,21 @@ def test_garch_is_the_recursion_row_by_row(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] / want[k] - 1) < 1e-9 for k in want)
 
 
-def test_mixtures_are_fitted_on_the_window_before(spark, monkeypatch):
-    monkeypatch.setattr(md, "fit_variance_mix", lambda logs, y: np.array([0.5, 0.5, float(len(y))]))
-    rows = [(t, p, 1.0 + p, 1.0, 4.0) for p in range(60) for t in "AB"]
+def test_mixtures_are_fitted_on_the_window_before(spark):
+    rng = np.random.default_rng(4)
+    rows = [(t, p, *map(float, rng.uniform(0.5, 2, 3))) for p in range(60) for t in "AB"]
     df = spark.createDataFrame(rows, "ticker string, pos long, y double, fa double, fb double")
     out = {r.pos: r.mix for r in md.rolling_mixture(df, "y", ["fa", "fb"], 2, 20, 7, 10).where("ticker = 'A' and mix is not null").collect()}
-    refit = {t: 2 * (min(t - 2, 59) - max(t - 22, -1)) for t in range(0, 60, 7) if 2 * (t - 1) >= 10}
-    assert out.keys() == set(range(min(refit), 60))
-    assert all(abs(np.log(out[p] / 2) - refit[max(t for t in refit if t <= p)]) < 1e-9 for p in out)
+    fits = {}
+    for t in range(0, 60, 7):
+        x = np.array([r[2:] for r in rows if t - 22 < r[1] <= t - 2])
+        if len(x) >= 10:
+            fits[t] = md.fit_variance_mix(np.log(x[:, 1:]), x[:, 0])
+    assert out.keys() == set(range(min(fits), 60))
+    for t, p, _, fa, fb in rows:
+        if t == "A" and p in out:
+            k = fits[max(x for x in fits if x <= p)]
+            assert abs(np.log(out[p]) - (k[2] + k[0] * np.log(fa) + k[1] * np.log(fb))) < 1e-6
 
 
 def test_permutations_average_to_nothing(spark, whole_panel):
