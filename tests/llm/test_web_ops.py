@@ -129,3 +129,43 @@ def test_search_of_few(spark):
     got = sorted(tuple(r) for r in ann.nearest(df).collect())
     assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 20), (20, 1, 1), (20, 2, 2), (20, 3, 0)]
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.limit(0)).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+ARTICLE = "<article><h1>Title here now</h1><p>" + "word " * 30 + "end.</p><p>Short.</p><p>" + "more " * 40 + "end.</p></article>"
+PLAIN = ARTICLE.replace("article", "div")
+LISTED = "".join(f"<div><a href=x>linked headline number {i} of the day</a></div>" for i in range(6))
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><meta charset=u><body>" + ARTICLE,
+    ARTICLE.replace("<article>", '<article title="the hidden valley">'),
+    ARTICLE.replace("<p>", '<p data-id="footer-7">'),
+    '<body class="has-sidebar">' + ARTICLE,
+    '<div class="legal-news">' + PLAIN + "</div>",
+    '<div class="social-history">' + PLAIN + "</div>",
+    ARTICLE.replace("<h1>", "<header><h1>").replace("</h1>", "</h1></header>"),
+    ARTICLE.replace("Short.", "Short.<svg width=1 />"),
+    ARTICLE.replace("Short.", "Short.<button>"),
+    '<form id="aspnetForm">' + ARTICLE + "</form>",
+    "<div><a>Home</a></div><div><a>News</a></div>" + PLAIN,
+    PLAIN + "<div>" + LISTED + "</div>",
+    LISTED + PLAIN,
+    '<div class="content">' + LISTED + "</div>" + ARTICLE,
+    ARTICLE + '<div id="comments"><ol class="comment-list"><li class="comment"><article class="comment-body"><p>I think so too, said the reader.</p></article></li></ol></div>',
+    ARTICLE + '<div class="left-sidebar"><p>some text of the side that is long enough to count here.</p></div>',
+    ARTICLE + "<p cla",
+])
+def test_names_and_densities(page):
+    assert html_extract.main_text(page) == "Title here now " + "word " * 30 + "end. Short. " + "more " * 40 + "end."
+
+
+def test_tree_uses_densities():
+    def splits(t):
+        return [t[0], *splits(t[2]), *splits(t[3])] if isinstance(t, tuple) else []
+
+    used = {html_extract.FEATURES[f] for f in splits(html_extract.trained_tree())}
+    assert "link_density" in used and used & {"words", "words_before", "words_after", "largest_near"}
+
+
+def test_text_after_a_stray_angle_stays():
+    assert html_extract.main_text("<article><p>if a < b then c, she said.</p><p>And more of it.</p></article>") == "if a < b then c, she said. And more of it."
