@@ -39,6 +39,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialize wrote and that no later step reads."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    for name in table.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def frugal(run):
     """run, a function from Arrow batches to Arrow batches, giving freed memory back to the system when a task ends:
     Python workers are used again, and what their allocators keep would count against every later task."""
@@ -63,7 +71,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-# --- Bloom filters of a fixed size: past their capacity they pass everything, so results never depend on them ---
+# --- Bloom filters sized by their keys, up to a bound: past it they pass everything, so results never depend on them ---
+
+
+def filter_size(keys: int, most: int, least: int = 10) -> int:
+    """log2 of a filter's words: sixteen bits a key, at most 2**most words."""
+    return min(most, max(least, (keys // 4).bit_length()))
 
 
 def bloom_words(keys: DataFrame, col: str, log2_words: int) -> DataFrame:
@@ -74,8 +87,9 @@ def bloom_words(keys: DataFrame, col: str, log2_words: int) -> DataFrame:
     return keys.select(bit).groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
 
 
-def bloom_array(keys: DataFrame, col: str, log2_words: int = 20) -> np.ndarray:
-    """The filter as 2**log2_words unsigned words on the driver (8 MB by default, whatever the number of keys)."""
+def bloom_array(keys: DataFrame, col: str, most: int = 22) -> np.ndarray:
+    """The filter as unsigned words on the driver, sized by the number of keys; 32 MB at most."""
+    log2_words = filter_size(keys.count(), most)
     t = bloom_words(keys, col, log2_words).toArrow()
     out = np.zeros(1 << log2_words, np.uint64)
     out[t["word"].to_numpy()] = t["bits"].to_numpy().view(np.uint64)
@@ -91,11 +105,12 @@ def bloom_hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
-def split_by_keys(df: DataFrame, keys: DataFrame, on: list[str], log2_words: int = 17) -> tuple[DataFrame, DataFrame]:
+def split_by_keys(df: DataFrame, keys: DataFrame, on: list[str], most: int = 19) -> tuple[DataFrame, DataFrame]:
     """(rows whose `on` may be in keys, rows whose `on` surely is not), without a shuffle of df.
 
-    The filter is a broadcast table of at most 2**17 rows, whatever the size of keys; when keys outgrow it, all
-    rows come back as "may be" and the caller's join does the whole work."""
+    The filter is a broadcast table sized by the number of keys (a written table, read twice), of at most 2**19 rows;
+    when keys outgrow it, all rows come back as "may be" and the caller's join does the whole work."""
+    log2_words = filter_size(keys.count(), most)
     n = 1 << (log2_words + 6)
     filt = bloom_words(keys.select(F.xxhash64(*on).alias("_h")), "_h", log2_words)
     h = F.xxhash64(*on)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize
+from quantloom.llm.common import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     edges: two columns of one ordered type; loops and repeated or reversed edges are allowed, nulls are dropped.
     Each round's edges are written to the shared folder; there are as many rounds as the edges need to settle, about
-    the logarithm of the longest chain. `rounds` is a guard that raises, not a cap."""
+    the logarithm of the longest chain; a round's edges are deleted once the next are written. `rounds` is a guard that raises, not a cap."""
     a, b = edges.columns[:2]
     edges = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "edges")
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             return edges
-        edges = materialize(_small(_large(edges)), "edges")
+        done, edges = edges, materialize(_small(_large(edges)), "edges")
+        discard(done)
         if (now := mark(edges)) == before:
             return edges
         before = now

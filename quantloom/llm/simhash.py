@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import frugal, materialize, split_by_keys
@@ -54,14 +54,15 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row."""
+    """doc_id, fp (the 64 bits as a signed long) for every row; doc_id may be of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash(t.as_py(), width) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, fp long")
+    few = docs.select("doc_id", "text")
+    return few.mapInArrow(frugal(run), few.select("doc_id").schema.add("fp", "long"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -138,15 +139,29 @@ def upper_nodes(free: int, distance: int, need: int) -> list[int]:
 
 
 def near_links(codes: DataFrame, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
-    """(u, v): edges between distinct codes (column fp, long), a spanning forest of each upper node's links."""
+    """(u, v): edges between distinct codes (column fp, long), a spanning forest of each upper node's links.
+
+    Nodes of more than node_rows codes are split, each by the bits that its own mask leaves free, until there are none;
+    a node whose mask leaves no more than `distance` bits free is not split, as all its codes (16 at most) are linked."""
     spark = codes.sparkSession
     n = codes.count()
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    need = max(1, (n // 512).bit_length())
+    whole = (1 << 64) - 1
+
+    def spread(rows: DataFrame, need: int) -> DataFrame:
+        """rows (fp, q, fixed), a node's path and the bits that its mask fixes, for each node below: (fp, q, m, p, fixed)."""
 
-    def spread(rows: DataFrame, free: int, at: list[str]) -> DataFrame:
-        masks = upper_nodes(free, distance, max(1, (n // 512).bit_length()) if free == (1 << 64) - 1 else 1)
-        node = F.explode(F.array(*(F.struct(F.lit(signed(m)).cast("long").alias("m"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("p")) for m in masks)))
-        return rows.select("fp", *at, node.alias("node")).select("fp", *at, "node.*")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fp, q, fixed = (b.column(i).to_numpy().view(np.uint64) for i in range(3))
+                for mask in np.unique(fixed):
+                    at = fixed == mask
+                    for m in upper_nodes(whole & ~int(mask), distance, need):
+                        m = np.uint64(m)
+                        cols = (fp[at], q[at], np.full(at.sum(), m), fp[at] & m, np.full(at.sum(), mask | m))
+                        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=["fp", "q", "m", "p", "fixed"])
+
+        return rows.select("fp", "q", "fixed").mapInArrow(frugal(run), "fp long, q long, m long, p long, fixed long")
 
     def join(rows: DataFrame) -> DataFrame:
         keys = ["q", "m", "p"]
@@ -180,57 +195,61 @@ def near_links(codes: DataFrame, distance: int = DISTANCE, node_rows: int = NODE
 
         return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).select(*keys, "fp").mapInArrow(frugal(run), "u long, v long")
 
-    whole = (1 << 64) - 1
-    rows = spread(codes.select("fp"), whole, []).withColumn("q", F.lit(0).cast("long"))
-    out = []
-    for _ in range(3):
-        sizes = rows.groupBy("q", "m", "p").count().where(F.col("count") > node_rows).drop("count")
-        large = [r for r in sizes.select("m").distinct().collect()]  # masks: as many as there are choices of blocks
-        if not large:
-            break
-        sizes = materialize(sizes, "large-nodes")
-        out.append(join(rows.join(sizes, ["q", "m", "p"], "left_anti")))
-        hot = materialize(rows.join(sizes, ["q", "m", "p"], "left_semi"), "large-rows")
-        # the bits that are still free are those no mask on the way has fixed; the node's path is its new q
-        nxt = [spread(hot.where(F.col("m") == r["m"]).select("fp", F.xxhash64("q", "m", "p").alias("q")), whole & ~(r["m"] & whole), ["q"]) for r in large]
-        rows = nxt[0]
-        for x in nxt[1:]:
-            rows = rows.union(x)
-        rows = rows.select("fp", "m", "p", "q")
-        if _ == 2 or any(bin(whole & ~(r["m"] & whole)).count("1") <= 16 for r in large):
+    zero = F.lit(0).cast("long")
+    rows, out = spread(codes.select("fp", zero.alias("q"), zero.alias("fixed")), need), []
+    keys = ["q", "m", "p"]
+    while True:
+        size = rows.groupBy(*keys, "fixed").count().where(F.col("count") > node_rows)
+        large = materialize(size.where(F.bit_count("fixed") < BITS - distance).select(*keys), "large-nodes")
+        if large.isEmpty():
             break
+        out.append(join(rows.join(large, keys, "left_anti")))
+        hot = rows.join(large, keys, "left_semi")
+        rows = spread(materialize(hot.select("fp", F.xxhash64(*keys).alias("q"), "fixed"), "large-rows"), 1)
     edges = join(rows)
     for x in out:
         edges = edges.union(x)
     return edges.distinct()
 
 
+def _roots(codes: DataFrame, distance: int) -> DataFrame:
+    """(fp, root) for every distinct fp of codes."""
+    least = materialize(codes.select("fp").distinct(), "distinct-fingerprints")
+    tree = materialize(connected_components(near_links(least, distance)), "components")
+    return least.join(tree, least.fp == tree.u, "left").select("fp", F.coalesce("v", "fp").alias("root"))
+
+
 def near_components(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (the smallest doc_id reachable) for every row.
 
     Texts without words, nulls among them, have fingerprint 0 and are linked like any other. A null doc_id keeps its
     row and is never a component's id, unless the component has no other. Repeated rows are all returned."""
-    codes = materialize(fingerprints(docs, width), "fingerprints")
-    least = codes.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    tree = materialize(connected_components(near_links(least, distance)), "components")
-    root = least.join(tree, least.fp == tree.u, "left").select("fp", F.coalesce("v", "fp").alias("root"), "first")
+    codes = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width), "fingerprints")
+    first = codes.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    root = materialize(_roots(codes, distance).join(first, "fp"), "roots")
     named = root.groupBy("root").agg(F.min("first").alias("component_id"))
     member = root.join(named, "root").select("fp", "component_id")
     return codes.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """docs in their columns: of each component the document with the smallest doc_id.
-
-    Rows that repeat a doc_id, nulls too, are one document: the first by its text's hash. Only rows of dropped
-    documents, and the few that the filter can't tell from them, are shuffled."""
-    ids = docs.select("doc_id")
-    again = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.isEmpty():
-        maybe, never = split_by_keys(docs, again, ["doc_id"])
-        first = maybe.withColumn("__first", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-        docs = never.unionByName(first.where("__first = 1").drop("__first"))
-    found = near_components(docs, distance, width)
-    gone = materialize(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")), "dropped-documents")
-    maybe, never = split_by_keys(docs, gone.select(F.col("__gone").alias("doc_id")), ["doc_id"])
-    return never.unionByName(maybe.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti"))
+    """docs in their columns: of each component one row, that of the smallest doc_id, of equal ids that of the least
+    hash of its text; null ids come last. Rows whose text is linked to no other stay, whatever their ids.
+
+    Only dropped rows, rows that repeat both id and text, and the few that the filter can't tell from them, are shuffled."""
+    u = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+    d = F.col("doc_id").cast("long")
+    codes = materialize(fingerprints(docs.select(F.struct(d.alias("d"), u.alias("u")).alias("doc_id"), "text"), width).select("doc_id.d", "doc_id.u", "fp"), "fingerprints")
+    key = F.struct(F.col("d").isNull().alias("z"), "d", "u")
+    root = materialize(_roots(codes, distance).join(codes.groupBy("fp").agg(F.min(key).alias("first")), "fp"), "roots")
+    member = root.join(root.groupBy("root").agg(F.min("first").alias("kept")), "root").select("fp", "kept")
+    gone = codes.join(member, "fp").where(key != F.col("kept")).select("d", "u").distinct()
+    again = codes.groupBy("d", "u").count().where("count > 1").select("d", "u")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), d.alias("__d"), u.alias("__u"))
+    out = materialize(gone.withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False))), "dropped-documents")
+    maybe, never = split_by_keys(rows, out.select(F.col("d").alias("__d"), F.col("u").alias("__u")), ["__d", "__u"])
+    lost = out.where("gone").select("d", "u")
+    stay = maybe.join(lost, F.col("__d").eqNullSafe(F.col("d")) & (F.col("__u") == F.col("u")), "left_anti")
+    both = never.unionByName(stay.dropDuplicates(["__d", "__u"]))
+    return both.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -156,6 +156,21 @@ def test_keep_one_of_each_group(docs, rows):
     assert simhash.keep_one(docs.union(docs)).count() == kept.count()
 
 
+def test_keep_one_keeps_unlinked_rows_whatever_their_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 5) for _ in range(60)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[0]), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as d", "2 as u", "3 as gone")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
+    assert simhash.keep_one(df).columns == df.columns
+    first = min([(None, None), (None, "")], key=lambda r: simhash_order(spark, r[1]))
+    assert got == sorted([(None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[0]), first], key=str)
+
+
+def simhash_order(spark, text):
+    return spark.createDataFrame([(text,)], "t string").selectExpr("coalesce(xxhash64(t), 0L) as h").first().h if text is not None else spark.sql("select coalesce(xxhash64(cast(null as string)), 0L) as h").first().h
+
+
 def test_gray_rank_orders_neighbours():
     codes = np.array([i ^ (i >> 1) for i in range(256)], np.uint64)
     assert (simhash.gray_rank(codes) == np.arange(256)).all()
