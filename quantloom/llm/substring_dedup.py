@@ -1,24 +1,30 @@
 """Substring dedup by recompression: exact removal of windows of words that start earlier elsewhere.
 
-Every text is parsed by rounds that name things alike wherever they stand: first runs (a word and its repetition
-become one symbol), then pairs (two neighbours become one symbol if a coin, drawn from the symbols' names, puts the
-first on the left side and the second on the right). A name is a 64-bit hash of what it stands for, so that the
-names are global without a dictionary being exchanged. Whether two neighbours part or join depends on `context`
-words at either side alone; so equal substrings have equal symbols, but for their ends. Each window owns one of its
-symbol boundaries, the one with the least name; equal windows own equal boundaries at the same place. Boundaries
-whose name occurs once in the corpus end there. For the rest:
-
-1. if all the boundaries of a name stand in equal segments (all words of all windows they own), the first keeps its
-   windows and the others lose theirs;
-2. else one representative of each distinct segment is compared window by window with the others of its name.
-
-Counts, first places and names cover the whole corpus. A filter of fixed size keeps lone boundaries from being
-shuffled a second time; when it is full it passes everything, and the join does the same work.
+Every text is rewritten by rounds that name things alike wherever they stand: runs first (a word and its repetition
+become one symbol), then pairs, round after round (two neighbours become one symbol if a coin, drawn from the symbols'
+names, puts the first on the left side and the second on the right). A name is a 64-bit hash of the names that it
+stands for, so that names are global without a dictionary being exchanged; whether two neighbours join depends on
+their own names. So the symbols inside equal substrings are equal, but for some at the ends, which each round pops.
+
+A window of words is its popped sequence: what each round pops at either end, and the symbols left in its middle at
+the highest level that it reaches. Its name is made of the names in that sequence, so equal windows have equal names.
+Each window hangs on one pair of neighbouring symbols of its middle, the longest, which the window's words decide, too.
+
+Spark compares the names, round by round:
+
+1. names of the pairs that windows hang on are counted over the corpus; those that occur once end there;
+2. if all occurrences of a pair carry equal segments (the names of all the windows that hang on them, in order), the
+   first keeps its windows and the others lose theirs;
+3. else one representative of each distinct segment is compared name by name with the others of its pair.
+
+Counts, first places and names cover the whole corpus. A filter, sized by the names that are shared, keeps lone ones
+from being shuffled a second time; past its bound it passes everything, and the join does the same work.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,27 +37,20 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import bloom_array, bloom_hits, frugal, materialize, mix64, split_by_keys
 
 WINDOW = 20
-#: Longest run of equal words that becomes one symbol (longer ones stay words: a window may not see their ends).
-MAX_RUN = 2
+#: Windows that one row holds at most (they are bits of a long).
+SEGMENT = 60
 #: Words parsed at once.
 CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C55
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-@lru_cache
-def plan(window: int) -> tuple[int, int]:
-    """(pair rounds, context): as many rounds as leave every window a boundary that its own words decide."""
-    rounds, context, longest = 0, MAX_RUN, MAX_RUN
-    while window - 2 * (context + longest) + 1 >= 2 * longest:
-        rounds, context, longest = rounds + 1, context + longest, 2 * longest
-    if window - 2 * context + 1 < longest:
-        raise ValueError(f"windows of {window} words are too short for this parse")
-    return rounds, context
+def pair_rounds(window: int) -> int:
+    """Rounds of pairs after that of runs: each makes symbols a third longer, until some eleven fill a window."""
+    return max(1, int(math.log(max(window / 11, 1)) / math.log(4 / 3)))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     grow = lambda b: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64))])
     return grow(_BASE), grow(_BASE_INV)
@@ -61,71 +60,122 @@ def word_ids(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def boundaries(ids: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
-    """Places where the symbols of the last round start. first: true where a document starts."""
+def rewrite(ids: np.ndarray, first: np.ndarray, rounds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places where symbols start, their names) of the words, the runs and each round of pairs. first: true where a
+    document starts; no symbol crosses it."""
     n = len(ids)
-    # runs
     new = np.ones(n, bool)
     new[1:] = (ids[1:] != ids[:-1]) | first[1:]
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, n))
-    whole = np.ones(n, bool)
-    whole[np.concatenate([start[size == k] + j for k in range(2, MAX_RUN + 1) for j in range(1, k)] or [start[:0]])] = False
-    at = np.flatnonzero(whole)
-    name = ids[at]
-    run = np.diff(np.append(at, n))
-    name = np.where(run > 1, mix64(name + run.astype(np.uint64)), name)
-    # pairs
+    at = np.flatnonzero(new)
+    run = np.diff(np.append(at, n)).astype(np.uint64)
+    name = np.where(run > 1, mix64(ids[at] + run), ids[at])
+    out = [(np.arange(n), ids), (at, name)]
     for r in range(rounds):
         coin = (mix64(name ^ np.uint64(r + 1)) & np.uint64(1)).astype(bool)
         join = np.zeros(len(at), bool)
         join[1:] = coin[:-1] & ~coin[1:] & ~first[at[1:]]
         left = np.append(join[1:], False)
-        name[left] = mix64(name[left] * np.uint64(_BASE) + name[1:][join[1:]])
+        name = name.copy()
+        name[left] = _pair(name[left], name[1:][join[1:]])
         at, name = at[~join], name[~join]
-    return at
-
-
-def _least(v: np.ndarray, width: int) -> np.ndarray:
-    """Index of the first least of v[s : s + width], for each s."""
-    i, w = np.arange(len(v), dtype=np.int32), 1
-    while w < width:
-        step = min(w, width - w)
-        a, b = i[:-step], i[step:]
-        i = np.where(v[a] <= v[b], a, b)
-        w += step
-    return i
+        out.append((at, name))
+    return out
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(a * np.uint64(_BASE) + b)
+
+
+class _Level:
+    """One round's symbols, with sums over their names and, for ranges of them, the pair to hang on."""
+
+    def __init__(self, at: np.ndarray, name: np.ndarray, n: int, level: int):
+        self.at, self.name, size = at, name, len(at)
+        starts = np.zeros(n, np.int32)
+        starts[at] = 1
+        self.upto = np.cumsum(starts, dtype=np.int32)  # symbols that start at or before each word
+        pw, self.inv = _powers(1 << size.bit_length())
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(name * pw[:size])])
+        self.alone = mix64(name + np.uint64(2 * level))
+        self.two = np.append(mix64(_pair(name[:-1], name[1:]) + np.uint64(2 * level + 1)), self.alone[-1:])
+        end = np.append(at[2:], [n, n])[:size]
+        # longest first, then the least name: the order of one unsigned number
+        rank = (np.uint64(0xFFFF) - np.minimum(end - at, 0xFFFF).astype(np.uint64) << np.uint64(48)) | (self.two >> np.uint64(16))
+        self.rank, self.best = rank, [np.arange(size, dtype=np.int32)]
+
+    def names(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """One name for the symbols a to b - 1."""
+        return (self.total[b] - self.total[a]) * self.inv[a]
+
+    def hang(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first symbol of the pair that the symbols a to b - 1 hang on; of a single symbol, itself."""
+        last = np.maximum(b - 1, a + 1)  # first symbols of pairs: a to last - 1
+        power = np.frexp((last - a).astype(np.float64))[1] - 1
+        for k in range(len(self.best), int(power.max(initial=0)) + 1):
+            x = self.best[-1]
+            y = np.append(x[1 << k - 1 :], np.full(min(1 << k - 1, len(x)), len(x) - 1, np.int32))
+            self.best.append(np.where(self.rank[x] <= self.rank[y], x, y))
+        out = np.empty(len(a), np.int64)
+        for k in range(len(self.best)):
+            i = np.flatnonzero(power == k) if power.min(initial=k) != k or power.max(initial=k) != k else slice(None)
+            x, y = self.best[k][a[i]], self.best[k][last[i] - (1 << k)]
+            out[i] = np.where(self.rank[x] <= self.rank[y], x, y)
+        return out
 
 
 def parse(ids: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
-    """The owned boundaries of concatenated documents (doc: their numbers, ascending): name k, segment's hash h,
-    place p, first and last owned window s and t; all places in `ids`. hashes: function from places to windows' hashes."""
-    rounds, c = plan(window)
+    """The segments of concatenated documents (doc: their numbers, ascending): runs of windows that hang on one pair.
+
+    k: the pair's name, h: that of the segment, p: the pair's place, s and t: first and last window, names: those of
+    all windows, starts: the windows' places, i and j: the segments' first and last window among those."""
     n = len(ids)
-    size = 1 << max(CHUNK, n).bit_length()
-    pw, inv = (x[: n + 1] for x in _powers(size))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * pw[:n])])
-    sub = lambda a, b: (total[b] - total[a]) * inv[a]
-    none = np.zeros(0, np.int64)
-    if n < window:
-        return {"k": none.astype(np.uint64), "h": none.astype(np.uint64), "p": none, "s": none, "t": none, "sub": sub}
+    none, names0 = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    start = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :]) if n >= window else none
+    if not len(start):
+        return {"k": names0, "h": names0, "p": none, "s": none, "t": none, "i": none, "j": none, "names": names0, "starts": none}
     first = np.ones(n, bool)
     first[1:] = doc[1:] != doc[:-1]
-    at = boundaries(ids, first, rounds)
-    at = at[(at >= c) & (at <= n - c)]
-    at = at[doc[at - c] == doc[at + c - 1]]
-    v = np.full(n + 1, _TOP)
-    v[at] = np.minimum(mix64(sub(at - c, at + c)), _TOP - np.uint64(1))
-    owner = _least(v[c : n - c + 1], window - 2 * c + 1).astype(np.int64) + c
-    start = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
-    p = owner[start]
-    head = np.ones(len(start), bool)
-    head[1:] = (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)
-    s = start[head]
-    t = start[np.append(head[1:], True)] if len(start) else start
-    p = p[head]
-    shape = ((p - s) * 64 + (t - s)).astype(np.uint64)
-    return {"k": v[p], "h": mix64(mix64(sub(s, t + window)) + shape), "p": p, "s": s, "t": t, "sub": sub}
+    levels = [_Level(at, name, n, k) for k, (at, name) in enumerate(rewrite(ids, first, pair_rounds(window)))]
+    size = len(start)
+    name, key, place = np.zeros(size, np.uint64), np.empty(size, np.uint64), np.empty(size, np.int64)
+    on = np.arange(size)
+    lo, hi = start, start + window  # what is known at a level: from word lo to word hi - 1
+    a, b = lo, hi  # the same as symbols of the level
+    for k, here in enumerate(levels):
+        up = levels[k + 1] if k + 1 < len(levels) else None
+        if up is not None:
+            c, e = up.upto[lo].astype(np.int64), up.upto[hi - 1].astype(np.int64) - 1  # first and last start inside
+            stay = c >= e
+        stop = np.flatnonzero(stay) if up is not None else np.arange(len(on))
+        if len(stop):
+            x, y, w = a[stop], b[stop], on[stop]
+            name[w] = mix64(name[w] + here.names(x, y) + np.uint64(k))
+            q = here.hang(x, y)
+            key[w], place[w] = np.where(y - x > 1, here.two[q], here.alone[q]), here.at[q]
+        if up is None:
+            break
+        if len(stop):
+            go = np.flatnonzero(~stay)
+            on, lo, hi, a, b, c, e = on[go], lo[go], hi[go], a[go], b[go], c[go], e[go]
+        if not len(on):
+            break
+        lo, hi = up.at[c], up.at[e]
+        # what this round pops at either end, in this level's symbols
+        left, right = here.upto[lo].astype(np.int64) - 1, here.upto[hi].astype(np.int64) - 1
+        name[on] = _pair(mix64(name[on] + here.names(a, left)), here.names(right, b) + (right - left > 0))
+        a, b = c, e
+    head = np.ones(size, bool)
+    head[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)
+    i = np.flatnonzero(head)
+    length = np.diff(np.append(i, size))
+    if length.max() > SEGMENT:
+        i = np.concatenate([np.arange(x, x + m, SEGMENT) for x, m in zip(i, length, strict=True)])
+    j = np.append(i[1:], size) - 1
+    pw, inv = _powers(1 << size.bit_length())
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(name * pw[:size])])
+    shape = ((place[i] - start[i]) * 64 + (j - i)).astype(np.uint64)
+    h = mix64(mix64((total[j + 1] - total[i]) * inv[i]) + shape)
+    return {"k": key[i], "h": h, "p": place[i], "s": start[i], "t": start[j], "i": i, "j": j, "names": name, "starts": start}
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], text: int, others: list[int]):
@@ -152,24 +202,24 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: int, others: list[int]):
 
 
 def _anchors(keyed: DataFrame, window: int, bits=None) -> DataFrame:
-    """k, h, d, u, p, s, n: owned boundaries (n windows from the s-th word on). With bits (a broadcast filter of
-    names): those that may be in it only, and wh, their windows' hashes."""
+    """k, h, d, u, p, s, n: segments (n windows from the s-th word on). With bits (a broadcast filter of names): those
+    that may be in it only, and wh, their windows' names."""
     more = bits is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, begin, values in _chunks(batches, 2, [0, 1]):
             x = parse(ids, doc, window)
             keep = bloom_hits(bits.value, x["k"]) if more else slice(None)
-            k, h, p, s, t = (x[c][keep] for c in "khpst")
+            k, h, p, s, t, i = (x[c][keep] for c in "khpsti")
             of = doc[s] if len(s) else s
-            d, u = (np.array([v[i] for v in values], np.int64)[of] for i in (0, 1))
+            d, u = (np.array([v[c] for v in values], np.int64)[of] for c in (0, 1))
             cols = {"k": k.view(np.int64), "h": h.view(np.int64), "d": d, "u": u, "p": (p - begin[of]).astype(np.int32), "s": (s - begin[of]).astype(np.int32), "n": (t - s + 1).astype(np.int32)}
             arrays = [pa.array(c) for c in cols.values()]
             if more:
                 size = t - s + 1
                 ends = np.cumsum(size)
-                each = np.repeat(s - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-                hashes = mix64(x["sub"](each, each + window)).view(np.int64)
+                each = np.repeat(i - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+                hashes = x["names"][each].view(np.int64)
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(hashes)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*cols, *["wh"] * more])
 
@@ -187,7 +237,7 @@ def _spans(keyed: DataFrame, window: int) -> DataFrame:
     names = materialize(names, "shared-names")
     bits = keyed.sparkSession.sparkContext.broadcast(bloom_array(names, "k"))
     found = materialize(_anchors(keyed, window, bits).join(names, "k"), "shared-boundaries")
-    alike = found.where("h0 = h1").where(place != F.col("f")).select("d", "u", "s", "n", F.lit(0).alias("keep"))
+    alike = found.where("h0 = h1").where(place != F.col("f")).select("d", "u", "s", "n", F.lit(0).cast("long").alias("keep"))
     mixed = found.where("h0 < h1").select("k", "h", "d", "u", "p", "s", "n", "wh")
     reps = mixed.groupBy("k", "h").agg(F.min(place).alias("f"), F.first(F.expr("p - s")).alias("o"), F.first("wh").alias("wh"))
     reps = materialize(reps, "segments")
@@ -195,11 +245,11 @@ def _spans(keyed: DataFrame, window: int) -> DataFrame:
     firsts = each.groupBy("k", "o", "w").agg(F.min("f").alias("wf"))
     spared = (
         each.join(firsts, ["k", "o", "w"]).groupBy("k", "h")
-        .agg(F.min("f").alias("f"), F.sum(F.expr("case when f = wf then shiftleft(1, i) else 0 end")).cast("int").alias("spare"))
+        .agg(F.min("f").alias("f"), F.sum(F.expr("case when f = wf then shiftleft(1L, i) else 0L end")).alias("spare"))
     )
     spared = materialize(spared, "spared-windows")  # a table on this side lets a hot segment's rows be split
-    other = mixed.join(spared, ["k", "h"]).select("d", "u", "s", "n", F.when(place == F.col("f"), F.col("spare")).otherwise(0).alias("keep"))
-    other = other.where("keep <> shiftleft(1, n) - 1")
+    other = mixed.join(spared, ["k", "h"]).select("d", "u", "s", "n", F.when(place == F.col("f"), F.col("spare")).otherwise(F.lit(0).cast("long")).alias("keep"))
+    other = other.where("keep <> shiftleft(1L, n) - 1")
     return alike.union(other).groupBy("d", "u").agg(F.collect_list(F.struct("s", "n", "keep")).alias("spans"))
 
 
@@ -237,7 +287,7 @@ def _apply(docs: DataFrame, window: int, fn, cols: list[str], schema) -> DataFra
             for at in range(0, whole.num_rows, 256):
                 yield fn(whole.slice(at, 256))
 
-    return joined.unionByName(never.select(*own, F.lit(None).cast("array<struct<s:int,n:int,keep:int>>").alias("spans"))).mapInArrow(frugal(run), schema)
+    return joined.unionByName(never.select(*own, F.lit(None).cast("array<struct<s:int,n:int,keep:bigint>>").alias("spans"))).mapInArrow(frugal(run), schema)
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -83,14 +83,37 @@ def test_substring_dedup_tells_repeated_ids_apart(spark):
     assert [g[0] for g in got] == [1, 1, 2, 2] and sum(g[2] == 0 for g in got) == 1 and all(g[2] == 30 for g in got if g[0] == 2)
 
 
-def test_plan_leaves_every_window_a_boundary():
+def test_every_window_hangs_on_one_pair_of_its_own_words():
     for window in (20, 30, 50, 100):
-        rounds, context = substring_dedup.plan(window)
         rng = np.random.default_rng(window)
-        for ids in (rng.integers(0, 3, 3000), rng.integers(0, 1000, 3000), np.repeat(rng.integers(0, 5, 300), 10)):
-            x = substring_dedup.parse(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.zeros(3000, np.int64), window)
-            assert (x["t"] - x["s"] + 1).sum() == 3000 - window + 1
-            assert ((x["p"] - x["s"]) <= window - context).all() and ((x["p"] - x["t"]) >= context).all()
+        for ids in (rng.integers(0, 3, 3000), rng.integers(0, 1000, 3000), np.repeat(rng.integers(0, 5, 300), 10), np.zeros(3000, int)):
+            words = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+            x = substring_dedup.parse(words, np.zeros(3000, np.int64), window)
+            assert (x["t"] - x["s"] + 1).sum() == 3000 - window + 1 and (x["t"] - x["s"]).max() < substring_dedup.SEGMENT
+            assert (x["p"] >= x["t"]).all() and (x["p"] < x["s"] + window).all()
+            # the same words between others: the same names, and pairs at the same places
+            own = dict(zip(x["starts"].tolist(), x["names"].tolist()))
+            other = np.concatenate([rng.integers(0, 9, 7).astype(np.uint64), words[500:900], rng.integers(0, 9, 5).astype(np.uint64)])
+            y = substring_dedup.parse(other, np.zeros(len(other), np.int64), window)
+            pairs = lambda z: {(w, k): p - w for k, p, s, t in zip(z["k"].tolist(), z["p"], z["s"], z["t"]) for w in range(s, t + 1)}
+            here, there = pairs(x), pairs(y)
+            for w, name in zip(y["starts"], y["names"].tolist()):
+                if 7 <= w <= 407 - window:
+                    assert own[w + 493] == name
+                    k = [k for v, k in there if v == w]
+                    assert here[w + 493, k[0]] == there[w, k[0]]
+
+
+def test_names_of_windows_are_their_words():
+    rng = np.random.default_rng(8)
+    for high in (2, 3, 50):
+        words = rng.integers(1, high + 1, 6000).astype(np.uint64)
+        x = substring_dedup.parse(words, np.repeat(np.arange(3), 2000), 20)
+        seen = {}
+        for w, name in zip(x["starts"], x["names"].tolist()):
+            seen.setdefault(name, set()).add(words[w : w + 20].tobytes())
+        assert all(len(v) == 1 for v in seen.values())
+        assert len(seen) == len({v for c in seen.values() for v in c})
 
 
 def simhash_reference(text):
