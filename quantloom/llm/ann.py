@@ -14,6 +14,7 @@ Within a block, scores are computed in double precision on the original vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import frugal, materialize
 
 K = 20
+SHAPE = "query_id long, rank int, vec_id long, score double"
 #: Vectors a list is meant to hold; bounds of the lists' number and of the sample that the centroids are fitted on.
 LIST_ROWS, MAX_LISTS, SAMPLE = 128, 1 << 14, 1 << 16
 #: Sampled vectors that every query is scored against first: the k-th best of those in the lists that it visits bounds
@@ -35,6 +37,8 @@ BATCH_ROWS = 1 << 15
 REPLICATE, MAX_REPLICAS = 0.03, 4
 #: Centroids that a query's walk keeps at first; queries whose selection that may cut see all centroids.
 PRUNE, BEAM = 0.18, 512
+#: Centroids that a vector's walk to its own lists keeps.
+HOME_BEAM = 96
 DEGREE = 16
 
 
@@ -100,7 +104,7 @@ class CentroidGraph:
         """(centroids, squared distances) of each query's beam nearest found, nearest first."""
         n, beam, q = len(self.c), min(beam, len(self.c)), q.astype(np.float32)
         qn, cn = (q * q).sum(1)[:, None], (self.c * self.c).sum(1)
-        if n <= 4 * beam:  # the walk would see every node
+        if beam == n:  # the beam holds every node
             d = qn - 2 * q @ self.c.T + cn
             at = np.argsort(d, axis=1, kind="stable")[:, :beam]
             return at, np.maximum(np.take_along_axis(d, at, 1), 0)
@@ -139,7 +143,8 @@ class CentroidGraph:
 
 
 def _lists_of(graph: CentroidGraph, x: np.ndarray) -> list[np.ndarray]:
-    at, d = graph.search(x, 8)
+    at, d = graph.search(x, HOME_BEAM)
+    at, d = at[:, :8], d[:, :8]
     out = []
     for i in range(len(x)):
         chosen = [at[i, 0]]
@@ -194,11 +199,9 @@ def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int,
 
 
 def usable(table: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Rows that take part: neither null nor zero, all components finite, of the most frequent length; smaller on a tie."""
+    """Rows that take part: neither null nor zero, all components finite."""
     ok = F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(vector, lambda e: e != 0)
-    rows = table.where(F.coalesce(F.col(vector).isNotNull() & ok, F.lit(False)))
-    top = rows.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size(vector) == (top["n"] if top else 0))
+    return table.where(F.coalesce(F.col(vector).isNotNull() & ok, F.lit(False)))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -209,23 +212,30 @@ def _matrix(col: pa.Array) -> np.ndarray:
 def search(table: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where `queries` (a Column) holds, their k nearest others found.
 
-    Rows with a null id or a vector that takes no part are left out on both sides. Rows that repeat an id are one
-    vector: the first by a hash of it. Fewer than k others: all of them. An empty table gives an empty one."""
+    Rows with a null id or a vector that takes no part are left out on both sides; vectors of different lengths have
+    no product, so each length is searched by itself. Rows that repeat an id are one vector: the first by a hash of
+    it. Fewer than k others: all of them. An empty table gives an empty one."""
     spark = table.sparkSession
     vectors = usable(table.where(F.col(id_col).isNotNull()), vector)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = materialize(rows.groupBy("id").agg(F.min_by(F.struct("v", "asks"), F.xxhash64("v")).alias("r")).select("id", "r.v", "r.asks"), "vectors")
-    n, top = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).first()
-    shape = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], shape)
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # of a column of vectors, one or few
+    found = [_search(rows if len(lengths) == 1 else rows.where(F.size("v") == m), k) for m in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SHAPE)
+
+
+def _search(rows: DataFrame, k: int) -> DataFrame:
+    """search over (id, v, asks), vectors of one length."""
+    spark = rows.sparkSession
+    kind = rows.schema["v"].dataType.simpleString()
+    n, top = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))).first()
     some = rows.select("v", "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # bounded by SAMPLE
     wide = lambda x: np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))])
     sample = wide(_matrix(some["v"]))
     lists = max(1, min(MAX_LISTS, n // LIST_ROWS))
     graph = CentroidGraph(balanced_clusters(sample, max(1, len(sample) // lists)))
     shared = spark.sparkContext.broadcast(graph)
-    homes = [graph.search(sample[a : min(a + 512, BOUND_ROWS)], 8)[0][:, 0] for a in range(0, min(len(sample), BOUND_ROWS), 512)]
+    homes = [graph.search(sample[a : min(a + 512, BOUND_ROWS)], HOME_BEAM)[0][:, 0] for a in range(0, min(len(sample), BOUND_ROWS), 512)]
     known = spark.sparkContext.broadcast((_matrix(some["v"])[:BOUND_ROWS], some["id"].to_numpy()[:BOUND_ROWS], np.concatenate(homes)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +248,7 @@ def search(table: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector
                 at = np.concatenate(for_rows).astype(np.int32) if len(x) else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i))], names=["list", "id", "v"])
 
-    postings = materialize(rows.select("id", "v").mapInArrow(frugal(assign), "list int, id long, v array<double>"), "postings")
+    postings = materialize(rows.select("id", "v").mapInArrow(frugal(assign), f"list int, id long, v {kind}"), "postings")
     sizes = postings.groupBy("list").agg(F.count("*").alias("n")).toArrow()  # a row a list
     held = np.zeros(len(graph.c), np.int64)
     held[sizes["list"].to_numpy()] = sizes["n"].to_numpy()
@@ -270,7 +280,7 @@ def search(table: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector
                     j = pa.array(i[e])
                     yield pa.RecordBatch.from_arrays([pa.array(at[e].astype(np.int32)), pa.array(block[e].astype(np.int32)), b.column(0).take(j), b.column(1).take(j), pa.array(floor[i[e]])], names=["list", "block", "id", "v", "floor"])
 
-    asked = rows.where("asks").select("id", "v").mapInArrow(frugal(probe), "list int, block int, id long, v array<double>, floor double")
+    asked = rows.where("asks").select("id", "v").mapInArrow(frugal(probe), f"list int, block int, id long, v {kind}, floor double")
     block_of = F.get(F.lit([int(x) for x in blocks]), F.col("list"))
     dealt = postings.withColumn("block", F.pmod(F.xxhash64("id"), block_of).cast("int")).select("list", "block", "id", "v", F.lit(None).cast("double").alias("floor"), F.lit(0).alias("asks"))
     both = dealt.unionByName(asked.withColumn("asks", F.lit(1))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "list", "block")

@@ -60,7 +60,7 @@ def test_url_rules(url, want):
 
 def test_url_models(spark):
     ratio = url_filter.Ratio([f"host{k}.example.org" for k in range(50)])
-    assert ratio.held_out_accuracy > 0.97
+    assert 0.6 < ratio.held_out_accuracy < 1  # of words that the models haven't seen
     good, bad = "https://harbor-notes.example.com/fr/12", "https://casino-slots.example.com/fr/12"
     assert ratio.score(good) < ratio.threshold < ratio.score(bad)
     df = spark.createDataFrame([(1, good), (2, bad), (3, None), (3, ""), (4, "x" * 100_000)], "page_id long, url string")
@@ -69,6 +69,38 @@ def test_url_models(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_no_host_vouches_for_itself(spark):
+    hosts = ["www.spam-farm.example.com", "m.casino-win.example.com", "free-bets.example.com", "blog.adult-x.example.net"]
+    clean = [f"{w}.example.{t}" for w, t in zip(url_filter.ACCEPTED[::3], ["com", "net", "org"] * 20)]
+    rows = [f"https://{h}/en/{k}.html" for k in range(30) for h in hosts] + [f"https://{h}/de/7" for h in clean]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.host: r.score for r in url_filter.judge(df).collect()}
+    assert all(got[h] > 0 for h in hosts) and sum(got[h] > 0 for h in clean) <= len(clean) // 10
+    ratio = url_filter.Ratio([*hosts, *clean])
+    assert all(abs(got[url_filter.parts(u)[0]] - (ratio.score(u) - ratio.threshold)) < 1e-9 for u in rows[-len(clean) :])
+
+
+def test_likelihood_is_the_smoothed_product():
+    m = url_filter.Markov(2)
+    texts = ["abab", "abba", "bb"]
+    for t in texts:
+        m.learn(t)
+    seen = {}
+    for t in texts:
+        p = "^^" + t + "$"
+        for i in range(2, len(p)):
+            for k in range(3):
+                seen.setdefault(p[i - k : i], []).append(p[i])
+
+    def prob(context, c):
+        lower = prob(context[1:], c) if context else 1 / 256
+        n = seen.get(context)
+        return lower if n is None else (n.count(c) + len(set(n)) * lower) / (len(n) + len(set(n)))
+
+    p = "^^" + "abca" + "$"
+    assert abs(m.log_likelihood("abca") - sum(np.log(prob(p[i - 2 : i], p[i])) for i in range(2, len(p)))) < 1e-12
+
+
 def brute(ids, x, asked, k):
     out = {}
     for q in asked:
@@ -124,6 +156,45 @@ def test_distance_ratio_alone_chooses_lists(n):
     assert all(len(set(g)) == len(g) for g in got)
 
 
+def test_graph_walk_finds_the_nearest_and_ends():
+    rng = np.random.default_rng(2)
+    for n in (300, 3000):
+        c = rng.normal(size=(n, 32))
+        graph = ann.CentroidGraph(c)
+        q = rng.normal(size=(200, 32))
+        d = ((q[:, None] - c[None]) ** 2).sum(2)
+        at, dist = graph.search(q, ann.HOME_BEAM)
+        assert (at[:, 0] == d.argmin(1)).mean() >= 0.9 and all(len(set(a)) == len(a) for a in at.tolist())
+        near = [len(set(a) & set(b)) / 20 for a, b in zip(at[:, :20].tolist(), d.argsort(1)[:, :20].tolist())]
+        assert np.mean(near) >= 0.8 and np.allclose(dist, np.take_along_axis(d, at, 1), rtol=1e-3, atol=1e-3)
+
+
+def test_search_walks_the_graph_of_many_lists(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ann, "LIST_ROWS", 2)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 24)).repeat(80, 0) + 0.4 * rng.normal(size=(4800, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(4800)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(list(range(4800)), x, range(0, 4800, 100), 20)
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.95
+
+
+def test_search_edges(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, [1.0, 2.0], 1, 2.0) for k in range(60)] + [(60, [1.0, 0.0, 0.0], 1, 2.0), (61, [0.5, 1.0, 0.0], 1, 2.0), (40, [1.0, 2.0], 1, 2.0), (None, [1.0, 2.0], 1, 2.0), (20, None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert got[0] == [(k, k, 5.0) for k in range(1, 21)]  # all alike: ties to smaller ids
+    assert got[60] == [(1, 61, 0.5)] and set(got) == {0, 20, 40, 60}
+
+
 def test_search_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in ann.nearest(df).collect())
