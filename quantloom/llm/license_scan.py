@@ -1,10 +1,12 @@
 """License scans: a trained paragraph classifier, in DataFrame expressions and JVM estimators only.
 
 Paragraphs (lines) become sparse word 1-grams and 2-grams; a multinomial logistic regression with L1 names the
-licence family or `none`. It is trained here: on parts of the templates below, on statements made from the families'
-names, and, for `none`, on statements about other things and a bounded sample of the corpus's own lines. A threshold
-on its probability, calibrated on variants it hasn't seen, turns doubtful paragraphs into `unknown`; comparison with
-the family's templates by word 3-grams confirms the others or makes them `unknown` too.
+licence family, `unknown` (a licence that is none of the families') or `none`. It is trained here: on parts of the
+templates below, on statements made from the families' names, for `unknown` on the same statements about other
+licences, and for `none` on statements about other things and a bounded sample of the corpus's own lines. A first fit
+leaves out whole names, with all that is made of them, and two whole families; the threshold on the probability is
+calibrated on these, so that families it doesn't know become `unknown`. A second fit has everything. Comparison with
+the family's names and, by word 3-grams, with its templates confirms what passes the threshold, or makes it `unknown`.
 
 Only words of the templates and names, other than everyday ones, count as evidence; a paragraph without any has no
 features and is `none` whatever the model, so such paragraphs never leave the scan.
@@ -42,7 +44,12 @@ NAMES = {
     "EPL": ("the Eclipse Public License, version 2.0", "EPL 2.0"),
     "Unlicense": ("the Unlicense",),
 }
-STATEMENTS = ("Licensed under {n}.", "Released under {n}.", "This work is licensed under {n}.", "This software is distributed under the terms of {n}.", "This project is available under {n}; see the LICENSE file for details.", "The source code is released under {n}.", "License: {n}", "Content is made available under {n} unless otherwise noted.")
+# Short identifiers of the families, and names of licences of no family here.
+IDENTIFIERS = {"Apache": "Apache-2.0", "BSD": "BSD-3-Clause", "CC-BY": "CC-BY-4.0", "CC-BY-NC": "CC-BY-NC-4.0", "CC-BY-SA": "CC-BY-SA-4.0", "CC0": "CC0-1.0", "AGPL": "AGPL-3.0-only", "GPL": "GPL-3.0-only", "LGPL": "LGPL-2.1-only", "ISC": "ISC", "MIT": "MIT", "MPL": "MPL-2.0", "EPL": "EPL-2.0", "Unlicense": "Unlicense"}
+UNNAMED = ("WTFPL", "the zlib License", "the Artistic License 2.0", "the Boost Software License", "a proprietary license", "the PostgreSQL License", "the Beerware License", "the Academic Free License", "a custom license", "our vendor license", "the Open Database License", "the Vim License")
+#: Families that the first fit doesn't know.
+LEFT_OUT = ("ISC", "EPL")
+STATEMENTS = ("Licensed under {n}.", "Released under {n}.", "This work is licensed under {n}.", "This software is distributed under the terms of {n}.", "This project is available under {n}; see the LICENSE file for details.", "The source code is released under {n}.", "License: {n}", "SPDX-License-Identifier: {n}", "{n}", "Content is made available under {n} unless otherwise noted.")
 # Opening paragraphs of the families' notices.
 TEMPLATES = {
     "Apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -73,25 +80,27 @@ def _plain(text: str) -> list[str]:
     return [x for w in low.split() if (x := w.strip(".+-"))]
 
 
-def _sources() -> list[tuple[str, str]]:
-    """(family, text): templates, and statements made from the names."""
-    return [*TEMPLATES.items(), *((f, s.format(n=n)) for f, names in NAMES.items() for n in names for s in STATEMENTS)]
+def _sources() -> list[tuple[str, str, str]]:
+    """(family, source, text): templates, and statements made from the names; source: what the text is made from."""
+    named = [(f, n) for f, names in NAMES.items() for n in (*names, IDENTIFIERS[f])] + [("unknown", n) for n in UNNAMED]
+    return [*((f, f"template {f}", t) for f, t in TEMPLATES.items()), *((f, n, s.format(n=n)) for f, n in named for s in STATEMENTS)]
 
 
 def evidence() -> list[str]:
-    return sorted({w for _, t in _sources() for w in _plain(t)} - COMMON)
+    return sorted({w for f, _, t in _sources() if f != "unknown" for w in _plain(t)} - COMMON)
 
 
-def _training() -> list[tuple[str, str]]:
-    """(family, paragraph): sources whole, in parts, and with other words before and after."""
+def _training() -> list[tuple[str, str, str]]:
+    """(family, source, paragraph): sources whole, in parts, and with other words before and after."""
     out = []
-    for family, text in _sources():
+    for family, source, text in _sources():
         w = text.split()
-        out += [(family, text)] * 2
+        out += [(family, source, text)] * 2
         if len(w) > 24:
-            out += [(family, " ".join(w[i : i + n])) for n in (14, 22, 34) for i in range(0, len(w) - n + 1, 5)]
-        out += [(family, f"Copyright (c) 20{len(w) % 30:02d} the authors. {text}"), (family, f"{text} All rights reserved.")]
-    return out + [("none", t) for t in OTHER for _ in range(4)] + [("none", " ".join(t.split()[i:])) for t in OTHER for i in (1, 2, 3)]
+            out += [(family, source, " ".join(w[i : i + n])) for n in (14, 22, 34) for i in range(0, len(w) - n + 1, 5)]
+        out += [(family, source, f"Copyright (c) 20{len(w) % 30:02d} the authors. {text}"), (family, source, f"{text} All rights reserved.")]
+    other = [("none", t, t) for t in OTHER for _ in range(4)] + [("none", t, " ".join(t.split()[i:])) for t in OTHER for i in (1, 2, 3)]
+    return out + other
 
 
 def _once(x: Column, fn) -> Column:
@@ -129,26 +138,33 @@ class Scanner:
         as `none`, unless they share a 3-gram with a template."""
         spark = lines.sparkSession
         self.known = F.array(*map(F.lit, evidence()))
-        self.classes = sorted(NAMES) + ["none"]
-        sources = spark.createDataFrame(_sources(), "family string, line string")
+        self.classes = [*sorted(NAMES), "unknown", "none"]
+        sources = spark.createDataFrame([(f, t) for f, _, t in _sources() if f != "unknown"], "family string, line string")
         own = sources.select("family", F.explode(grams(words_of(F.col("line")))).alias("g")).groupBy("family").agg(F.collect_set("g").alias("templates"))
-        self.templates = materialize(own, "licence-templates")
+        names = [(f, [f" {' '.join(_plain(n))} " for n in (*names, IDENTIFIERS[f])]) for f, names in NAMES.items()]
+        self.templates = materialize(own.join(spark.createDataFrame(names, "family string, names array<string>"), "family"), "licence-templates")
         seen = F.array(*(F.lit(r[0]) for r in self.templates.select(F.explode("templates")).distinct().collect()))  # of the fixed templates
         some = lines.select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
-        other = some.where(~F.arrays_overlap(grams(words_of(F.col("line"))), seen)).select(F.lit("none").alias("family"), "line")
-        rows = spark.createDataFrame(_training(), "family string, line string").unionByName(other)
+        other = some.where(~F.arrays_overlap(grams(words_of(F.col("line"))), seen)).select(F.lit("none").alias("family"), F.col("line").alias("source"), "line")
+        rows = spark.createDataFrame(_training(), "family string, source string, line string").unionByName(other)
         rows = rows.withColumn("label", (F.array_position(F.array(*map(F.lit, self.classes)), F.col("family")) - 1).cast("double"))
-        rows = rows.withColumn("held_out", F.pmod(F.xxhash64("line"), F.lit(5)) == 0).withColumn("f", features(words_of(F.col("line")), self.known)).coalesce(1)
+        apart = (F.pmod(F.xxhash64("source"), F.lit(4)) == 0) & ~F.startswith("source", F.lit("template ")) | F.col("family").isin(*LEFT_OUT)
+        rows = rows.withColumn("held_out", apart).withColumn("f", features(words_of(F.col("line")), self.known)).coalesce(1)
         self.tf = HashingTF(numFeatures=FEATURES, binary=True, inputCol="f", outputCol="x")
         table = self.tf.transform(materialize(rows, "licence-training"))
-        self.model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=MAX_ITER, regParam=REG, elasticNetParam=L1_SHARE, standardization=False, family="multinomial").fit(table.where("not held_out"))
-        # the threshold that gets most held-out paragraphs right, of equals the highest; doubtful ones count as none
-        scored = self._scored(table.where("held_out")).select("label", "family_id", "probability")
-        none = len(self.classes) - 1
-        grid = scored.select("*", F.explode(F.array(*(F.lit(k / 20) for k in range(8, 20)))).alias("t"))
-        right = grid.groupBy("t").agg(F.sum((F.when(F.col("probability") >= F.col("t"), F.col("family_id")).otherwise(none) == F.col("label")).cast("int")).alias("n"))
-        top = right.orderBy(F.desc("n"), F.desc("t")).first()
-        self.threshold = top["t"] if top else 0.5
+        fit = LogisticRegression(featuresCol="x", labelCol="label", maxIter=MAX_ITER, regParam=REG, elasticNetParam=L1_SHARE, standardization=False, family="multinomial").fit
+        self.model = fit(table.where("not held_out"))
+        # the threshold that gets most held-out paragraphs right, of equals the highest; left-out families, and what is
+        # doubtful, should be unknown
+        scored = self._scored(table.where("held_out")).select("label", "family", "family_id", "probability")
+        unknown, none = len(self.classes) - 2, len(self.classes) - 1
+        want = F.when(F.col("family").isin(*LEFT_OUT), unknown).otherwise(F.col("label").cast("int"))
+        grid = scored.select("*", F.explode(F.array(*(F.lit(k / 20) for k in range(6, 20)))).alias("t"))
+        said = F.when((F.col("probability") >= F.col("t")) | (F.col("family_id") == none), F.col("family_id")).otherwise(unknown)
+        right = grid.groupBy("t").agg(F.avg((said == want).cast("double")).alias("share"))
+        top = right.orderBy(F.desc("share"), F.desc("t")).first()
+        self.threshold, self.held_out_accuracy = (top["t"], top["share"]) if top else (0.5, None)
+        self.model = fit(table)
 
     def _scored(self, table: DataFrame) -> DataFrame:
         p = vector_to_array("probability")
@@ -156,15 +172,19 @@ class Scanner:
         return out.withColumn("probability", F.element_at(p, F.col("family_id") + 1)).drop("rawPrediction", "prediction", "x")
 
     def classify(self, lines: DataFrame) -> DataFrame:
-        """lines (a column `line` among them) with family, probability and overlap; family is a name, `unknown` or `none`."""
+        """lines (a column `line` among them) with family, probability and overlap (the
+        share of its 3-grams that the templates have); family is a name, `unknown` or `none`."""
         w = words_of(F.col("line"))
         scored = self._scored(self.tf.transform(lines.withColumn("f", features(w, self.known)))).drop("f")
         scored = scored.withColumn("family", F.get(F.array(*map(F.lit, self.classes)), F.col("family_id")))
         both = scored.join(F.broadcast(self.templates), "family", "left")  # a row a family
         overlap = F.coalesce(F.size(F.array_intersect(grams(w), "templates")) / F.size(grams(w)), F.lit(0.0))
-        both = both.withColumn("overlap", overlap)
-        verdict = F.when(F.col("family") == "none", "none").when((F.col("probability") < self.threshold) | (F.col("overlap") < MIN_OVERLAP), "unknown").otherwise(F.col("family"))
-        return both.withColumn("family", verdict).drop("templates", "family_id")
+        text = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+        named = _once(text, lambda t: F.exists("names", lambda n: F.contains(t, n)))
+        both = both.withColumns({"overlap": overlap, "named": F.coalesce(named, F.lit(False))})
+        sure = (F.col("probability") >= self.threshold) & (F.col("named") | (F.col("overlap") >= MIN_OVERLAP))
+        verdict = F.when(F.col("family") == "none", "none").when(sure, F.col("family")).otherwise("unknown")
+        return both.withColumn("family", verdict).drop("templates", "names", "named", "family_id")
 
 
 def scan(docs: DataFrame) -> DataFrame:
