@@ -14,6 +14,7 @@ def _events(spark, d):
     """The event table in four files by time, one a trigger."""
     e, path = table(spark, d, "events"), place(spark, "events")
     e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    sb.in_name_order(spark, path)
     return sb.event_stream(spark, path, e.schema)
 
 
