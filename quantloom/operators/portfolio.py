@@ -64,27 +64,40 @@ def backtest(books: DataFrame, returns: DataFrame, exec_lag: int = 1, tranches:
     return out.withColumn("net", F.col("gross") - F.col("cost") - F.col("borrow"))
 
 
+#: Added to the variances, of mean 1: with fewer days than names a covariance is singular, and has no one solution.
+RIDGE = 1e-10
+
+
 def min_variance_weights(cov: np.ndarray, long_only: bool = True) -> np.ndarray:
-    """Global minimum-variance weights with sum 1; long-only by an active set: drop negative names, add back those
-    whose gradient says so, until the conditions of optimality hold."""
+    """Global minimum-variance weights with sum 1; long-only by an active set: the name of least slope joins, weights
+    move towards the minimum over the names held as far as none gets negative, until no slope is below the variance.
+    Every step lowers the variance; singular covariances have a solution too."""
     n = len(cov)
-    cov = cov / np.mean(np.diag(cov))
-    held = np.ones(n, bool)
-    for _ in range(10 * n):
-        w = np.zeros(n)
-        x = np.linalg.solve(cov[np.ix_(held, held)], np.ones(held.sum()))
+    cov = cov / np.mean(np.diag(cov)) + RIDGE * np.eye(n)
+
+    def least(held: np.ndarray) -> np.ndarray:
+        x, w = np.linalg.solve(cov[np.ix_(held, held)], np.ones(held.sum())), np.zeros(n)
         w[held] = x / x.sum()
-        if not long_only:
-            return w
-        if (w < -1e-12).any():
-            held &= w > 0
-            continue
+        return w
+
+    if not long_only:
+        return least(np.ones(n, bool))
+    held = np.arange(n) == np.argmin(np.diag(cov))
+    w = held.astype(float)
+    for _ in range(10 * n):
         slope = cov @ w
-        better = ~held & (slope < slope[held].min() - 1e-10)
-        if not better.any():
-            return np.maximum(w, 0) / np.maximum(w, 0).sum()
-        held[np.argmin(np.where(better, slope, np.inf))] = True
-    return np.maximum(w, 0) / np.maximum(w, 0).sum()
+        free = np.where(held, np.inf, slope)
+        if free.min() >= w @ slope - 1e-10:
+            break
+        held[np.argmin(free)] = True
+        z = least(held)
+        while (out := held & (z <= 0)).any():
+            w += np.min(w[out] / np.maximum(w[out] - z[out], 1e-300)) * (z - w)
+            held &= w > 1e-14
+            w = np.where(held, w, 0) / w[held].sum()
+            z = least(held)
+        w = z
+    return w
 
 
 def min_variance_book(variance: DataFrame, corr: DataFrame, least: int = 10, long_only: bool = True) -> DataFrame:
