@@ -4,6 +4,13 @@ import numpy as np
 import pytest
 
 from quantloom.operators.portfolio import min_variance_weights
+from quantloom.plans import QUERIES, evaluation_q
+
+
+def test_tied_means_go_by_name(spark, monkeypatch):
+    rows = [("resid_60_down", 0.46315895753139497), ("plain_60_down", 0.4631589575313943), ("plain_20_down", 0.463728813559322), ("resid_20_down", 0.46372881355932216)]
+    monkeypatch.setattr(evaluation_q, "_sweep", lambda s, d: s.createDataFrame(rows, "signal string, mean double"))
+    assert [r.config for r in QUERIES["c09_winners"](spark, "").collect()] == ["plain_20_down", "resid_20_down", "plain_60_down"]
 
 
 @pytest.mark.parametrize("days", [1, 2, 9, 40])
