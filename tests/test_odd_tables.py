@@ -1,10 +1,36 @@
 """Queries over tables that the small samples lack: prices of 0, tied means, fewer days than names."""
 
+from datetime import datetime, timedelta
+
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from quantloom.operators.portfolio import min_variance_weights
-from quantloom.plans import QUERIES, evaluation_q
+from quantloom.plans import ORACLE, QUERIES, evaluation_q
+
+
+@pytest.fixture(scope="module")
+def zero_prices(tmp_path_factory):
+    """Events of two types over three days; one price of 0, and on the last day two in a row."""
+    rng, path, rows = np.random.default_rng(3), tmp_path_factory.mktemp("zeros"), []
+    for i in range(240):
+        ts = datetime(2024, 1, 1, 10) + timedelta(days=i // 80, minutes=5 * (i % 80))
+        rows.append((i, ts, int(rng.integers(6)), "ab"[i % 2], 0.0 if i in (100, 200, 202) else float(rng.uniform(1, 9))))
+    con = duckdb.connect()
+    con.register("rows", pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"]).astype({"ts": "datetime64[us]"}))
+    con.execute(f"copy (select * from rows) to '{path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{path}/events.parquet'")
+    return con, str(path)
+
+
+@pytest.mark.parametrize("name", ["g04_realized_variance"])
+def test_zero_prices_count_as_in_sql(spark, zero_prices, name):
+    con, path = zero_prices
+    got, want = QUERIES[name](spark, path).toPandas(), con.execute(ORACLE[name]).df()
+    text = lambda df: sorted(tuple(f"{v:.5f}" if isinstance(v, float) else str(v).removesuffix(" 00:00:00") for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert text(got) == text(want) and any("inf" in r or "nan" in r for r in text(got))
 
 
 def test_tied_means_go_by_name(spark, monkeypatch):
