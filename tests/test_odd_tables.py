@@ -25,7 +25,7 @@ def zero_prices(tmp_path_factory):
     return con, str(path)
 
 
-@pytest.mark.parametrize("name", ["g04_realized_variance", "g15_g18_portfolio_rv", "g16_residual_rv", "g17_futures_rv"])
+@pytest.mark.parametrize("name", ["g04_realized_variance", "g15_g18_portfolio_rv", "g16_residual_rv", "g17_futures_rv", "m25_log_rv_series"])
 def test_zero_prices_count_as_in_sql(spark, zero_prices, name):
     con, path = zero_prices
     got, want = QUERIES[name](spark, path).toPandas(), con.execute(ORACLE[name]).df()
