@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bloom_array, bloom_hits, frugal, materialize, mix64, split_by_keys
+from quantloom.llm.common import bloom_array, bloom_hits, frugal, materialize, mix64, rows_per_batch, split_by_keys
 
 WINDOW = 20
 #: Windows that one row holds at most (they are bits of a long).
 SEGMENT = 60
-#: Words parsed at once.
-CHUNK = 1 << 18
+#: Words parsed at once, and texts that reach Python at once: both bound what a task holds outside the heap.
+CHUNK, TEXTS = 1 << 16, 1000
 _BASE = 0x9E3779B97F4A7C55
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -234,9 +234,10 @@ def _spans(keyed: DataFrame, window: int) -> DataFrame:
         .agg(F.count("*").alias("c"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min(place).alias("f"))
         .where("c > 1").drop("c")
     )
-    names = materialize(names, "shared-names")
-    bits = keyed.sparkSession.sparkContext.broadcast(bloom_array(names, "k"))
-    found = materialize(_anchors(keyed, window, bits).join(names, "k"), "shared-boundaries")
+    with rows_per_batch(keyed.sparkSession, TEXTS):
+        names = materialize(names, "shared-names")
+        bits = keyed.sparkSession.sparkContext.broadcast(bloom_array(names, "k"))
+        found = materialize(_anchors(keyed, window, bits).join(names, "k"), "shared-boundaries")
     alike = found.where("h0 = h1").where(place != F.col("f")).select("d", "u", "s", "n", F.lit(0).cast("long").alias("keep"))
     mixed = found.where("h0 < h1").select("k", "h", "d", "u", "p", "s", "n", "wh")
     reps = mixed.groupBy("k", "h").agg(F.min(place).alias("f"), F.first(F.expr("p - s")).alias("o"), F.first("wh").alias("wh"))

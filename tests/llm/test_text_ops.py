@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -301,3 +302,14 @@ def test_license_scan(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.licences) for r in license_scan.scan(df).collect()]
     assert sorted(got, key=str) == sorted([(1, ""), (2, ""), (None, "MIT"), (3, "MIT"), (4, "Apache,GPL"), (5, ""), (5, "")], key=str)
+
+
+def test_substring_tasks_hold_few_texts(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, tag: seen.append((tag, int(spark.conf.get(key)))) or write(df, tag))
+    before = spark.conf.get(key)
+    df = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(40))) for k in range(3)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in substring_dedup.removal_digests(df).collect()) == [0, 40, 40]
+    assert all(n <= 1000 for tag, n in seen if tag in ("shared-names", "shared-boundaries")) and len(seen) > 2 and spark.conf.get(key) == before
+    texts = pa.RecordBatch.from_arrays([pa.array(["a b c d"] * 50_000)], names=["text"])
+    assert max(len(ids) for ids, *_ in substring_dedup._chunks(iter([texts]), 0, [])) <= 1 << 16
