@@ -240,3 +240,17 @@ def test_tree_uses_densities():
 
 def test_text_after_a_stray_angle_stays():
     assert html_extract.main_text("<article><p>if a < b then c, she said.</p><p>And more of it.</p></article>") == "if a < b then c, she said. And more of it."
+
+
+def test_url_models_hold_all_pairs_at_any_size(spark):
+    hosts = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}é.example.org" for k in range(600)]
+    hosts += ["www.spam-farm.example.com", "casino-win.example.com"]
+    urls = [f"https://{h}/{k % 7}/about?{'xY' * (k % 3)}" for k, h in enumerate(hosts)] + [None, "", "none", "http://a.example.com/en/1"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, *urls[:40]])], "page_id long, url string")
+    rows = lambda most: {r.page_id: r for r in url_filter.judge(df, most=most).collect()}
+    held, joined = rows(1 << 17), rows(100)
+    assert len(held) == len(joined) == len(urls) + 40
+    ratio = url_filter.Ratio(hosts + ["a.example.com"])
+    for k, r in held.items():
+        assert joined[k][:5] == r[:5] and abs(joined[k].score - r.score) < 1e-9
+        assert abs(r.score - (ratio.score((urls + urls)[k]) - ratio.threshold)) < 1e-9
